@@ -66,14 +66,61 @@ def op9_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits two replicas of the pages, 4,096 to an archive file, after planted faults; ids choose faults, never rows to read."""
+    from fernwell.llm.fixity import audit_replicas
+
+    pages = table(spark, sf_dir, "pages").select("page_id", F.floor(F.col("page_id") / 4096).cast("string").alias("file"), "url", "html")
+    ours = pages.filter(~((F.col("page_id") * 31 + 5) % 97 == 0) | F.col("page_id").isNull())
+    theirs = pages.filter(~((F.col("page_id") * 37 + 11) % 89 == 0) | F.col("page_id").isNull())
+    flipped = F.when((F.col("page_id") * 41 + 3) % 53 == 0, F.concat(F.col("html"), F.lit("\u0000"))).otherwise(F.col("html"))
+    return audit_replicas(ours, theirs.withColumn("html", flipped), "file", "page_id", ["url", "html"])
+
+
+def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernwell.llm.quality_fm import THRESHOLD, fit, fold, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernwell.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_fixity": op1_fixity,
     "op4_bpe_chunks": op4_bpe_chunks,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_chat_format": op6_chat_format,
+    "op8_quality_fm": op8_quality_fm,
     "op9_reshard": op9_reshard,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL = {
+    "op1_fixity": """
+        WITH p AS (SELECT page_id AS pos, url, html, CAST(CAST(floor(page_id / 4096) AS BIGINT) AS VARCHAR) AS file FROM pages),
+        a AS (SELECT file, pos, list_sort(list([url, html])) AS rows FROM p WHERE (pos * 31 + 5) % 97 <> 0 GROUP BY file, pos),
+        b AS (SELECT file, pos, list_sort(list([url, CASE WHEN (pos * 41 + 3) % 53 = 0 THEN html || chr(1) ELSE html END])) AS rows
+              FROM p WHERE (pos * 37 + 11) % 89 <> 0 GROUP BY file, pos)
+        SELECT file, pos, CASE WHEN b.rows IS NULL THEN 'missing' WHEN a.rows IS NULL THEN 'extra' ELSE 'changed' END AS status,
+            CAST(floor(pos / 64) * 64 AS BIGINT) AS range_start
+        FROM a FULL JOIN b USING (file, pos) WHERE a.rows IS DISTINCT FROM b.rows""",
+    "op10_decontaminate": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+        ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+            UNION SELECT doc_id, '5 ' || array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+        bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)
+            UNION SELECT item_id, '5 ' || array_to_string(w, ' ') FROM b WHERE len(w) BETWEEN 1 AND 4),
+        q AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+        SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_shared, count(*) / n AS containment
+        FROM ds JOIN bs USING (s) JOIN q USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(n * 0.8 - 1e-9)""",
     "op6_chat_format": f"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
