@@ -11,14 +11,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and the executors share: ``spark.checkpoint.dir`` of the session.
 
-    The folder is read from the session. Only where the setting is missing, as in local tests, a temporary one is set.
+    Only where the setting is missing, as in local tests, the context gets a temporary one.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="fernwell-checkpoint-"))
+    if folder := spark.conf.get("spark.checkpoint.dir", ""):
+        return folder
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fernwell-checkpoint-"))
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

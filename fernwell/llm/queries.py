@@ -77,6 +77,25 @@ def op1_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_replicas(ours, theirs.withColumn("html", flipped), "file", "page_id", ["url", "html"])
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernwell.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 100."""
+    from fernwell.llm.bm25_search import top_k
+
+    return top_k(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0, k=10)
+
+
+def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fernwell.llm.backoff_lm import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fernwell.llm.quality_fm import THRESHOLD, fit, fold, score
 
@@ -93,9 +112,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fixity": op1_fixity,
+    "op2_html_extract": op2_html_extract,
+    "op3_bm25": op3_bm25,
     "op4_bpe_chunks": op4_bpe_chunks,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_chat_format": op6_chat_format,
+    "op7_backoff_lm": op7_backoff_lm,
     "op8_quality_fm": op8_quality_fm,
     "op9_reshard": op9_reshard,
     "op10_decontaminate": op10_decontaminate,
