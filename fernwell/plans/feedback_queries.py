@@ -1,3 +1,52 @@
-"""Registered queries of the feedback engine."""
+"""Registered queries of the feedback engine: each runs one operator over whole tables."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fernwell.operators import analytics as A
+from fernwell.operators import evaluation as E
+from fernwell.plans.views import fb_orders
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+DIMENSIONS = ("entity", "priority", "segment", "region")
+
+
+def on_orders(name: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
+    def register(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: plain(f(fb_orders(spark, sf_dir)))
+        return f
+
+    return register
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Dates as ISO text, so that engines agree on their type."""
+    return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+
+
+def ungrouped(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", (F.col("review_id") * 37) % 1009)
+
+
+on_orders("kpis_overview")(lambda d: A.overview(d, "sentiment", "weight", dimensions=("entity", "priority")))
+on_orders("rating_distribution")(lambda d: A.rating_distribution(d))
+on_orders("sentiment_distribution")(lambda d: A.sentiment_distribution(d, "sentiment", "weight"))
+on_orders("sentiment_sources")(lambda d: A.value_counts(d.withColumn("sentiment_source", F.when(F.col("rating").isNotNull(), "rating").when(F.col("review_id") % 2 == 0, "text_baseline")), "sentiment_source", ["rating", "text_ai", "text_baseline", "none"]))
+on_orders("trend_monthly")(lambda d: A.over_time(d.withColumn("month", F.when(F.month("month") != 7, F.col("month"))), "sentiment", "weight"))
+on_orders("sentiment_trend")(lambda d: A.sentiment_over_time(d, "sentiment", "weight"))
+on_orders("recent_change")(lambda d: A.recent_change(d, "entity", "sentiment", "weight"))
+on_orders("group_summary")(lambda d: A.group_summary(d, "entity", "sentiment", "weight", outcomes=("fulfilled",)))
+on_orders("breakdown_observed")(lambda d: A.group_summary(d, "priority", "sentiment", "weight", observed_sentiment="sentiment"))
+on_orders("breakdowns_fused")(lambda d: A.breakdowns(d, DIMENSIONS, "sentiment", "weight"))
+on_orders("band_fixed")(lambda d: A.band_summary(d, "value", [0, 50000, 150000, 300000, 100000000], ["low", "mid", "high", "top"]))
+on_orders("band_quantile")(lambda d: A.band_summary(ungrouped(d), "bucket"))
+on_orders("spearman")(lambda d: A.spearman(ungrouped(d).withColumn("x", F.col("bucket") + F.col("rating") * 20), "x"))
+on_orders("low_rating_drivers")(lambda d: A.low_rating_drivers(d, DIMENSIONS))
+on_orders("priority")(lambda d: A.priority_table(d, "entity", "sentiment", "weight"))
+on_orders("outcome_agreement")(lambda d: E.outcome_agreement(d, "fulfilled"))
+on_orders("filtered_group_summary")(lambda d: A.group_summary(d.filter(F.col("region").isin("ASIA", "EUROPE") & F.col("priority").isin("1-URGENT", "2-HIGH")), "entity", "sentiment", "weight"))

@@ -1,0 +1,3 @@
+"""SQL of the queries that are not over the order view."""
+
+ORACLE_SQL: dict[str, str] = {}
