@@ -73,15 +73,17 @@ def baseline_labels(df: DataFrame, profile: Profile, text_col: str = "analysis_t
     rule = profile.calibration if calibration is FROM_PROFILE else calibration
     issues, praise, flags = (profile.keywords(k) for k in ("issues", "praise", "flags"))
 
-    def sentence(s: Column) -> Column:
-        good = score(s) >= POSITIVE_MIN
-        issue, topic = first_match(s, issues), first_match(s, praise)
-        complaint = F.struct(lookup(profile.issue_topic, issue).alias("topic"), F.lit("negative").alias("polarity"), issue.alias("issue"))
-        thanks = F.struct(topic.alias("topic"), F.lit("positive").alias("polarity"), F.lit(None).cast("string").alias("issue"))
-        return F.when(~good & issue.isNotNull(), complaint).when(good & topic.isNotNull(), thanks)
+    # what a sentence shows is computed once, as fields that the rule then refers to
+    def seen(s: Column) -> Column:
+        return F.struct((score(s) >= POSITIVE_MIN).alias("good"), first_match(s, issues).alias("issue"), first_match(s, praise).alias("topic"))
+
+    def sentence(x: Column) -> Column:
+        complaint = F.struct(lookup(profile.issue_topic, x["issue"]).alias("topic"), F.lit("negative").alias("polarity"), x["issue"].alias("issue"))
+        thanks = F.struct(x["topic"].alias("topic"), F.lit("positive").alias("polarity"), F.lit(None).cast("string").alias("issue"))
+        return F.when(~x["good"] & x["issue"].isNotNull(), complaint).when(x["good"] & x["topic"].isNotNull(), thanks)
 
     text = F.col(text_col)
-    found = F.filter(F.transform(sentences(text), sentence), lambda a: a.isNotNull())
+    found = F.filter(F.transform(F.transform(sentences(text), seen), sentence), lambda a: a.isNotNull())
     out = df.withColumn("__score", score(text)).withColumn("__found", found)
     negative = F.filter("__found", lambda a: a["polarity"] == "negative")
     primary = F.coalesce(F.get(negative, F.lit(0))["topic"], F.get(F.col("__found"), F.lit(0))["topic"], F.lit("Other"))

@@ -53,7 +53,7 @@ def sniff_encoding(head: bytes) -> str:
             head.decode(name)
             return spark_name
         except UnicodeDecodeError as e:
-            if name == "utf-8-sig" and len(head) - e.start < 4:
+            if name == "utf-8-sig" and len(head) >= 65536 and len(head) - e.start < 4:
                 return "UTF-8"  # a character cut at the end
     return "ISO-8859-1"
 

@@ -10,9 +10,9 @@ from fernwell.operators.analytics import Scale, metrics, parts
 
 def windowed_metrics(stream: DataFrame, time_col: str, sentiment_col: str = "sentiment", weight_col: str | None = None, window: str = "30 days", late: str = "2 days", by: str | None = None, scale: Scale = Scale()) -> DataFrame:
     """Metrics of each time window, and group, of a stream or a table; rows later than the watermark are dropped by the stream."""
-    keys = [F.window(time_col, window).alias("w"), *([F.col(by).alias("group")] if by else [])]
+    keys = [F.window(time_col, window).alias("span"), *([F.col(by).alias("group")] if by else [])]
     sums = stream.withWatermark(time_col, late).groupBy(*keys).agg(*parts(stream, sentiment_col, weight_col, scale))
-    return sums.select(F.col("w.start").alias("window_start"), *(["group"] if by else []), *metrics())
+    return sums.select(F.col("span.start").alias("window_start"), *(["group"] if by else []), *metrics())
 
 
 def first_submissions(stream: DataFrame, time_col: str, keys: list[str], late: str = "2 days") -> DataFrame:
