@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from fernwell.functions.numbers import ERFC
-from fernwell.plans import inline
 
 ORDERS = """fb0 AS (
     SELECT o_orderkey AS review_id, n_name AS entity, o_orderpriority AS priority, c_mktsegment AS segment, r_name AS region,
@@ -114,4 +113,81 @@ ORACLE_SQL: dict[str, str] = {
     "filtered_group_summary": f"""WITH {ORDERS}, g AS (SELECT entity AS "group", {sums()} FROM fb WHERE region IN ('ASIA', 'EUROPE') AND priority IN ('1-URGENT', '2-HIGH') GROUP BY entity)
         SELECT "group", {METRICS}, {pct('sw', '(SELECT sum(sw) FROM g)')} AS pct_of_reviews, n >= 15 AS reliable FROM g""",
 }
-ORACLE_SQL.update(inline.ORACLE_SQL)
+
+ASPECTS = f"""{ORDERS}, lab AS (SELECT *, coalesce(weight, 1.0::DOUBLE) AS sw FROM fb WHERE has_text),
+asp AS (SELECT review_id, rating, sentiment, sw, entity, region, priority AS topic, 'negative' AS polarity, priority || ' issue' AS issue FROM lab WHERE rating <= 3
+    UNION ALL SELECT review_id, rating, sentiment, sw, entity, region, segment, 'positive', NULL FROM lab WHERE review_id % 2 = 0
+    UNION ALL SELECT review_id, rating, sentiment, sw, entity, region, segment, 'negative', segment || ' issue' FROM lab WHERE review_id % 7 = 0),
+tot AS (SELECT sum(sw) AS total FROM lab)"""
+PREDICTED = f"""{ORDERS}, pr AS (SELECT *, CASE WHEN review_id % 17 = 0 THEN NULL WHEN review_id % 3 = 0 THEN 'Negative' WHEN (review_id * 13) % 7 < 2 THEN 'Neutral' ELSE coalesce(sentiment, 'Positive') END AS pred FROM fb),
+cm AS (SELECT sentiment AS "true", coalesce(pred, '(none)') AS pred, count(*) AS n FROM pr WHERE sentiment IS NOT NULL GROUP BY 1, 2)"""
+CLASSES = f"""k AS (SELECT s.sentiment AS label, coalesce(sum(n) FILTER ("true" = s.sentiment AND pred = s.sentiment), 0)::DOUBLE AS tp, coalesce(sum(n) FILTER (pred = s.sentiment), 0)::DOUBLE AS pp, coalesce(sum(n) FILTER ("true" = s.sentiment), 0)::DOUBLE AS sup FROM cm, {ASC3} GROUP BY 1),
+    pr3 AS (SELECT *, CASE WHEN pp > 0 THEN tp / pp ELSE 0 END AS p, CASE WHEN sup > 0 THEN tp / sup ELSE 0 END AS r FROM k), f3 AS (SELECT *, {he('CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END', 3)} AS f1 FROM pr3)"""
+
+
+def wilson(s: str, n: str, side: str) -> str:
+    p, z = f"(CAST({s} AS DOUBLE) / ({n}))", "CAST(1.96 AS DOUBLE)"
+    half = f"{z} * sqrt({p} * (1 - {p}) / ({n}) + {z} * {z} / (4 * ({n}) * ({n}))) / (1 + {z} * {z} / ({n}))"
+    centre = f"({p} + {z} * {z} / (2 * ({n}))) / (1 + {z} * {z} / ({n}))"
+    return f"CASE WHEN ({n}) > 0 THEN {he(f'greatest({centre} - {half}, 0) * 100' if side == 'low' else f'least({centre} + {half}, 1) * 100', 1)} END"
+
+
+MATCH = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+PICK = lambda m: ", ".join(f"CASE WHEN review_id % {i + m} = 0 THEN 'L{i}' END" for i in range(2, 6))
+GRID = ", ".join(f"({a / 10}::DOUBLE, {b / 10}::DOUBLE, {p / 10}::DOUBLE)" for a in (-3, -1) for b in (2, 5) for p in (0, 1))
+
+ORACLE_SQL.update(
+    {
+        "dedup_exact": "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
+        "dedup_resubmission": f"""WITH m AS (SELECT doc_id, lang, {MATCH} AS m FROM documents)
+            SELECT doc_id, lang FROM m QUALIFY length(m) < 20 OR row_number() OVER (PARTITION BY m, lang ORDER BY doc_id) = 1""",
+        "canonical_labels": f"""WITH {ORDERS}, l AS (SELECT review_id, trim(CASE WHEN review_id % 3 = 0 THEN upper(region) WHEN review_id % 5 = 1 THEN lower(region) || ' ' ELSE array_to_string(list_transform(string_split(lower(region), ' '), lambda w: upper(w[1]) || w[2:]), ' ') END) AS label FROM fb),
+            c AS (SELECT lower(label) AS k, label, count(*) AS n, min(review_id) AS o FROM l GROUP BY 1, 2), b AS (SELECT k, label FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, o) = 1)
+            SELECT review_id, b.label FROM l JOIN b ON lower(l.label) = b.k""",
+        "id_repair": f"""WITH {ORDERS}, i AS (SELECT review_id AS k, CASE WHEN review_id % 50 <> 0 THEN CAST(review_id % 9000 AS VARCHAR) END AS id FROM fb),
+            g AS (SELECT k, coalesce(id, 'gen_' || lpad(CAST(row_number() OVER (PARTITION BY id IS NULL ORDER BY k) AS VARCHAR), 6, '0')) AS id FROM i), r AS (SELECT k, id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS again FROM g)
+            SELECT k, CASE WHEN again > 0 THEN id || '_dup' || again ELSE id END AS review_id FROM r""",
+        "parse_values": f"""WITH {ORDERS} SELECT review_id, CASE WHEN review_id % 4 IN (0, 1) AND 1 + review_id % 7 <= 5 THEN CAST(1 + review_id % 7 AS DOUBLE) WHEN review_id % 4 = 3 AND 1 + review_id % 7 <= 4 THEN CAST(2 + review_id % 7 AS DOUBLE) END AS rating,
+            CAST(review_id * 10 AS DOUBLE) + 0.25 AS amount, CAST(date AS VARCHAR) AS day FROM fb""",
+        "keyword_hits": r"""SELECT lang, count(*) FILTER (regexp_matches(text, '(?i)\b(?:the(?:s|d)?|and(?:s|es|ed|ing)?)\b')) AS english, count(*) FILTER (regexp_matches(text, '(?i)\b(?:und(?:s|es|ed|ing)?|der(?:s|es|ed|ing)?)\b')) AS german,
+            count(*) FILTER (regexp_matches(text, '(?i)\bqueue(?:s|d)?\b')) AS rare FROM documents GROUP BY lang""",
+        "sentence_split": r"""WITH s AS (SELECT conv_id, turn, text, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '(?i)\s+(?:but|however|unfortunately)\s+', chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM conversations)
+            SELECT conv_id, turn, CAST(len(parts) AS INTEGER) AS n_sentences, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS n_words FROM s""",
+        "tuning_split": "SELECT doc_id, CASE WHEN right(sha256(CAST(doc_id AS VARCHAR)), 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'tune' ELSE 'test' END AS side FROM documents",
+        "semi_filter": f"WITH {ORDERS} SELECT entity, count(*) AS n FROM fb WHERE review_id IN (SELECT review_id FROM fb WHERE fulfilled = 1) GROUP BY entity",
+        "anti_filter": f"WITH {ORDERS} SELECT entity, count(*) AS n FROM fb WHERE NOT EXISTS (SELECT 1 FROM fb x WHERE x.review_id = fb.review_id AND x.fulfilled = 1) GROUP BY entity",
+        "aspect_explode": f"WITH {ASPECTS} SELECT review_id, topic, polarity, issue FROM asp",
+        "topics_outer": f"""WITH {ASPECTS}, o AS (SELECT DISTINCT review_id, topic, polarity, sw FROM asp) SELECT topic, count(*) FILTER (polarity = 'negative') AS reviews_complaint, {pct("coalesce(sum(sw) FILTER (polarity = 'negative'), 0)", '(SELECT total FROM tot)')} AS est_pct_of_reviews_complaint,
+            count(*) FILTER (polarity = 'positive') AS reviews_praise, {pct("coalesce(sum(sw) FILTER (polarity = 'positive'), 0)", '(SELECT total FROM tot)')} AS est_pct_of_reviews_praise FROM o GROUP BY topic""",
+        "praise": f"WITH {ASPECTS}, o AS (SELECT DISTINCT review_id, topic, sw FROM asp WHERE polarity = 'positive') SELECT topic, count(*) AS reviews, {pct('sum(sw)', '(SELECT total FROM tot)')} AS est_pct_of_reviews FROM o GROUP BY topic",
+        "flags": f"""WITH {ASPECTS} SELECT 'late' AS flag, count(*) FILTER (review_id % 11 = 0) AS reviews, {pct('sum(CASE WHEN review_id % 11 = 0 THEN sw ELSE 0 END)', 'sum(sw)')} AS est_pct_of_reviews, 'came late' AS definition FROM lab
+            UNION ALL SELECT 'again', count(*) FILTER (review_id % 6 = 0), {pct('sum(CASE WHEN review_id % 6 = 0 THEN sw ELSE 0 END)', 'sum(sw)')}, 'bought again' FROM lab""",
+        "issues_by_segment": f"""WITH {ASPECTS}, o AS (SELECT DISTINCT review_id, issue, region, sw FROM asp WHERE polarity = 'negative'), b AS (SELECT issue FROM o GROUP BY issue ORDER BY sum(sw) DESC, issue LIMIT 4), w AS (SELECT region, sum(sw) AS total FROM lab GROUP BY region)
+            SELECT region, issue, count(*) AS reviews, {pct('sum(sw)', 'any_value(total)')} AS est_pct_of_segment FROM o JOIN w USING (region) WHERE issue IN (FROM b) GROUP BY region, issue""",
+        "issue_priority": f"""WITH {ASPECTS}, d AS (SELECT DISTINCT review_id, issue, rating, sentiment, sw FROM asp WHERE polarity = 'negative'), g AS (SELECT issue AS "group", {sums('sw')} FROM d GROUP BY issue), m AS (SELECT "group", sw, {METRICS} FROM g),
+            s AS (SELECT *, {pct('sw', '(SELECT total FROM tot)')} AS frequency_pct, {he('coalesce(pct_negative, 0) / CAST(100 AS DOUBLE) * coalesce(least(greatest((5 - avg_rating) / CAST(4 AS DOUBLE), 0), 1), 1)', 3)} AS severity FROM m), x AS (SELECT *, frequency_pct / CAST(100 AS DOUBLE) * severity AS score FROM s),
+            i AS (SELECT *, CASE WHEN reviews >= 15 THEN round_even(CAST(100 AS DOUBLE) * score / (SELECT max(score) FROM x WHERE reviews >= 15), 0) END AS priority_index FROM x)
+            SELECT "group", reviews, frequency_pct, avg_rating, pct_negative, severity, priority_index, CASE WHEN reviews < 15 THEN 'Insufficient data' WHEN priority_index >= 60 THEN 'High' WHEN priority_index >= 25 THEN 'Medium' ELSE 'Low' END AS priority FROM i""",
+        "confusion": f'WITH {PREDICTED} SELECT "true", pred, n FROM cm',
+        "class_metrics": f"WITH {PREDICTED}, {CLASSES} SELECT label, {he('p', 3)} AS precision, {he('r', 3)} AS recall, f1, CAST(sup AS BIGINT) AS support FROM f3",
+        "classification_summary": f"""WITH {PREDICTED}, {CLASSES}, t AS (SELECT sum(n)::BIGINT AS n, sum(n) FILTER ("true" = pred)::BIGINT AS c FROM cm)
+            SELECT n, {pct('c', 'n')} AS accuracy, {wilson('c', 'n', 'low')} AS ci_low, {wilson('c', 'n', 'high')} AS ci_high, (SELECT {he('avg(f1)', 3)} FROM f3 WHERE sup > 0) AS macro_f1 FROM t""",
+        "binary_metrics": f"""WITH {PREDICTED}, b AS (SELECT sentiment = 'Negative' AS t, pred = 'Negative' AS p FROM pr WHERE sentiment IS NOT NULL AND pred IS NOT NULL), c AS (SELECT count(*) AS n, count(*) FILTER (t AND p)::DOUBLE AS tp, count(*) FILTER (NOT t AND p)::DOUBLE AS fp, count(*) FILTER (t AND NOT p)::DOUBLE AS fn FROM b)
+            SELECT n, {pct('n - fp - fn', 'n')} AS accuracy, {he('tp / (tp + fp)', 3)} AS precision, {he('tp / (tp + fn)', 3)} AS recall, {he('2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn))', 3)} AS f1,
+            {wilson('tp', 'tp + fn', 'low')} AS recall_low, {wilson('tp', 'tp + fn', 'high')} AS recall_high FROM c""",
+        "multilabel_summary": f"""WITH {ORDERS}, m AS (SELECT list_filter([{PICK(0)}], lambda x: x IS NOT NULL) AS t, list_filter([{PICK(1)}], lambda x: x IS NOT NULL) AS p FROM fb), l AS (SELECT 'L' || i.range AS label, t, p FROM m, range(2, 6) i),
+            c AS (SELECT label, count(*) FILTER (list_contains(t, label) AND list_contains(p, label))::DOUBLE AS tp, count(*) FILTER (NOT list_contains(t, label) AND list_contains(p, label))::DOUBLE AS fp, count(*) FILTER (list_contains(t, label) AND NOT list_contains(p, label))::DOUBLE AS fn FROM l GROUP BY label)
+            SELECT (SELECT count(*) FROM m) AS n, {he('2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))', 3)} AS micro_f1, {he(f"avg({he('2 * tp / (2 * tp + fp + fn)', 3)})", 3)} AS macro_f1, {pct('(SELECT count(*) FROM m WHERE list_sort(t) = list_sort(p))', '(SELECT count(*) FROM m)')} AS exact_pct FROM c""",
+        "population_accuracy": f"""WITH {PREDICTED}, r AS (SELECT * FROM pr WHERE sentiment IS NOT NULL), s AS (SELECT * FROM r WHERE review_id % 5 = 0 OR sentiment = 'Negative'), b AS (SELECT sentiment, count(*)::DOUBLE AS big FROM r GROUP BY 1), k AS (SELECT sentiment, count(*)::DOUBLE AS small FROM s GROUP BY 1)
+            SELECT {pct('sum(CASE WHEN sentiment = pred THEN big / small ELSE 0 END)', 'sum(big / small)')} AS weighted_accuracy FROM s JOIN b USING (sentiment) JOIN k USING (sentiment)""",
+        "rating_outcome_table": f"WITH {ORDERS} SELECT rating, count(*) FILTER (fulfilled = 0) AS no, count(*) FILTER (fulfilled = 1) AS yes FROM fb WHERE rating IS NOT NULL AND fulfilled IS NOT NULL GROUP BY rating",
+        "calibration": f"""WITH {ORDERS}, g AS (SELECT * FROM (VALUES {GRID}) AS g(negative_max, positive_min, penalty)), v AS (SELECT sentiment AS "true", {he("((review_id * 7) % 200 - 100) / CAST(100 AS DOUBLE)", 4)} AS score, review_id % 3 AS k FROM fb WHERE sentiment IS NOT NULL),
+            a AS (SELECT negative_max, positive_min, penalty, "true", CASE WHEN score - penalty * k <= negative_max THEN 'Negative' WHEN score - penalty * k >= positive_min THEN 'Positive' ELSE 'Neutral' END AS pred, count(*) AS n FROM v, g GROUP BY ALL),
+            k AS (SELECT negative_max, positive_min, penalty, s.sentiment AS label, coalesce(sum(n) FILTER ("true" = s.sentiment AND pred = s.sentiment), 0)::DOUBLE AS tp, coalesce(sum(n) FILTER (pred = s.sentiment), 0)::DOUBLE AS pp, coalesce(sum(n) FILTER ("true" = s.sentiment), 0)::DOUBLE AS sup FROM a, {ASC3} GROUP BY ALL),
+            p3 AS (SELECT *, CASE WHEN pp > 0 THEN tp / pp ELSE 0 END AS p, CASE WHEN sup > 0 THEN tp / sup ELSE 0 END AS r FROM k), f3 AS (SELECT *, {he('CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END', 3)} AS f1 FROM p3),
+            m AS (SELECT negative_max, positive_min, penalty, {he('avg(f1)', 3)} AS macro_f1 FROM f3 WHERE sup > 0 GROUP BY ALL), t AS (SELECT negative_max, positive_min, penalty, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER ("true" = pred), 0)::BIGINT AS c FROM a GROUP BY ALL)
+            SELECT negative_max, positive_min, penalty, n, {pct('c', 'n')} AS accuracy, {wilson('c', 'n', 'low')} AS ci_low, {wilson('c', 'n', 'high')} AS ci_high, macro_f1 FROM t JOIN m USING (negative_max, positive_min, penalty)""",
+        "events_windows": f"""WITH fb AS (SELECT CAST(CAST(date_trunc('day', ts) AS DATE) AS VARCHAR) AS window_start, event_type AS "group", CAST(1 + event_id % 5 AS DOUBLE) AS rating, CASE WHEN 1 + event_id % 5 <= 2 THEN 'Negative' WHEN 1 + event_id % 5 >= 4 THEN 'Positive' ELSE 'Neutral' END AS sentiment FROM events),
+            g AS (SELECT window_start, "group", {sums('1')} FROM fb GROUP BY 1, 2) SELECT window_start, "group", {METRICS} FROM g""",
+    }
+)
