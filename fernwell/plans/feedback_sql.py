@@ -150,7 +150,7 @@ ORACLE_SQL.update(
         "parse_values": f"""WITH {ORDERS} SELECT review_id, CASE WHEN review_id % 4 IN (0, 1) AND 1 + review_id % 7 <= 5 THEN CAST(1 + review_id % 7 AS DOUBLE) WHEN review_id % 4 = 3 AND 1 + review_id % 7 <= 4 THEN CAST(2 + review_id % 7 AS DOUBLE) END AS rating,
             CAST(review_id * 10 AS DOUBLE) + 0.25 AS amount, CAST(date AS VARCHAR) AS day FROM fb""",
         "keyword_hits": r"""SELECT lang, count(*) FILTER (regexp_matches(text, '(?i)\b(?:the(?:s|d)?|and(?:s|es|ed|ing)?)\b')) AS english, count(*) FILTER (regexp_matches(text, '(?i)\b(?:und(?:s|es|ed|ing)?|der(?:s|es|ed|ing)?)\b')) AS german,
-            count(*) FILTER (regexp_matches(text, '(?i)\bqueue(?:s|d)?\b')) AS rare FROM documents GROUP BY lang""",
+            count(*) FILTER (regexp_matches(text, '(?i)\bwith(?:s|es|ed|ing)?\b')) AS rare FROM documents GROUP BY lang""",
         "sentence_split": r"""WITH s AS (SELECT conv_id, turn, text, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '(?i)\s+(?:but|however|unfortunately)\s+', chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM conversations)
             SELECT conv_id, turn, CAST(len(parts) AS INTEGER) AS n_sentences, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS n_words FROM s""",
         "tuning_split": "SELECT doc_id, CASE WHEN right(sha256(CAST(doc_id AS VARCHAR)), 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'tune' ELSE 'test' END AS side FROM documents",
