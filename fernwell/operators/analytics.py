@@ -177,7 +177,7 @@ def recent_change(df: DataFrame, group_col: str, sentiment_col: str, weight_col:
         ]
     by_group = rows.filter(ago < 2 * months).groupBy(F.col(group_col).alias("group")).agg(*sums)
     pct = {k: percent(F.col(f"{k}_neg"), F.col(f"{k}_w")) for k in spans}
-    kish = {k: F.col(f"{k}_w") * F.col(f"{k}_w") / F.col(f"{k}_w2") for k in spans}
+    kish = {k: F.when(F.col(f"{k}_w2") > 0, F.col(f"{k}_w") * F.col(f"{k}_w") / F.col(f"{k}_w2")) for k in spans}
     done = by_group.select("group", *[c for k in ("previous", "recent") for c in (F.col(f"{k}_reviews"), pct[k].alias(f"{k}_pct_negative"), kish[k].alias(f"{k}_n"))]).withColumn(
         "change_pp", half_even(F.col("recent_pct_negative") - F.col("previous_pct_negative"), 1)
     )

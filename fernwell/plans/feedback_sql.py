@@ -72,7 +72,7 @@ ORACLE_SQL: dict[str, str] = {
     "recent_change": f"""WITH {ORDERS}, l AS (SELECT max(month) AS last FROM fb), r AS (SELECT *, date_diff('month', month, last) AS ago FROM fb, l WHERE month IS NOT NULL),
         g AS (SELECT entity AS "group", {', '.join(f"count(*) FILTER ({c} AND sentiment IS NOT NULL) AS {k}_reviews, sum(w) FILTER ({c} AND sentiment IS NOT NULL) AS {k}_w, sum(w * w) FILTER ({c} AND sentiment IS NOT NULL) AS {k}_w2, coalesce(sum(w) FILTER ({c} AND sentiment = 'Negative'), 0) AS {k}_neg" for k, c in (('recent', 'ago < 3'), ('previous', 'ago BETWEEN 3 AND 5')))}
             FROM r WHERE ago < 6 GROUP BY entity),
-        h AS (SELECT *, {pct('recent_neg', 'recent_w')} AS recent_pct_negative, {pct('previous_neg', 'previous_w')} AS previous_pct_negative, recent_w * recent_w / recent_w2 AS rn, previous_w * previous_w / previous_w2 AS pn FROM g),
+        h AS (SELECT *, {pct('recent_neg', 'recent_w')} AS recent_pct_negative, {pct('previous_neg', 'previous_w')} AS previous_pct_negative, recent_w * recent_w / nullif(recent_w2, 0) AS rn, previous_w * previous_w / nullif(previous_w2, 0) AS pn FROM g),
         i AS (SELECT *, {he('recent_pct_negative - previous_pct_negative', 1)} AS change_pp, {two_proportion('recent_pct_negative', 'rn', 'previous_pct_negative', 'pn')} AS p_value, least(recent_reviews, previous_reviews) >= 15 AS reliable FROM h)
         SELECT "group", previous_reviews, previous_pct_negative, recent_reviews, recent_pct_negative, change_pp, p_value,
             CASE WHEN NOT reliable OR change_pp IS NULL THEN 'Not enough data' WHEN p_value < 0.05 AND change_pp >= 2 THEN 'Increasing' WHEN p_value < 0.05 AND change_pp <= -2 THEN 'Decreasing' ELSE 'No clear change' END AS direction, reliable FROM i""",
@@ -132,6 +132,11 @@ def wilson(s: str, n: str, side: str) -> str:
     return f"CASE WHEN ({n}) > 0 THEN {he(f'greatest({centre} - {half}, 0) * 100' if side == 'low' else f'least({centre} + {half}, 1) * 100', 1)} END"
 
 
+def whole(words: str) -> str:
+    """Whole words by Unicode's letters; the engine's own word edge knows ASCII only."""
+    return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{words})(?:[^\p{{L}}\p{{N}}_]|$)"
+
+
 MATCH = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 PICK = lambda m: ", ".join(f"CASE WHEN review_id % {i + m} = 0 THEN 'L{i}' END" for i in range(2, 6))
 GRID = ", ".join(f"({a / 10}::DOUBLE, {b / 10}::DOUBLE, {p / 10}::DOUBLE)" for a in (-3, -1) for b in (2, 5) for p in (0, 1))
@@ -149,8 +154,8 @@ ORACLE_SQL.update(
             SELECT k, CASE WHEN again > 0 THEN id || '_dup' || again ELSE id END AS review_id FROM r""",
         "parse_values": f"""WITH {ORDERS} SELECT review_id, CASE WHEN review_id % 4 IN (0, 1) AND 1 + review_id % 7 <= 5 THEN CAST(1 + review_id % 7 AS DOUBLE) WHEN review_id % 4 = 3 AND 1 + review_id % 7 <= 4 THEN CAST(2 + review_id % 7 AS DOUBLE) END AS rating,
             CAST(review_id * 10 AS DOUBLE) + 0.25 AS amount, CAST(date AS VARCHAR) AS day FROM fb""",
-        "keyword_hits": r"""SELECT lang, count(*) FILTER (regexp_matches(text, '(?i)\b(?:the(?:s|d)?|and(?:s|es|ed|ing)?)\b')) AS english, count(*) FILTER (regexp_matches(text, '(?i)\b(?:und(?:s|es|ed|ing)?|der(?:s|es|ed|ing)?)\b')) AS german,
-            count(*) FILTER (regexp_matches(text, '(?i)\bwith(?:s|es|ed|ing)?\b')) AS rare FROM documents GROUP BY lang""",
+        "keyword_hits": f"""SELECT lang, count(*) FILTER (regexp_matches(text, '{whole('the(?:s|d)?|and(?:s|es|ed|ing)?')}')) AS english, count(*) FILTER (regexp_matches(text, '{whole('und(?:s|es|ed|ing)?|der(?:s|es|ed|ing)?')}')) AS german,
+            count(*) FILTER (regexp_matches(text, '{whole('with(?:s|es|ed|ing)?')}')) AS rare FROM documents GROUP BY lang""",
         "sentence_split": r"""WITH s AS (SELECT conv_id, turn, text, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '(?i)\s+(?:but|however|unfortunately)\s+', chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM conversations)
             SELECT conv_id, turn, CAST(len(parts) AS INTEGER) AS n_sentences, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS n_words FROM s""",
         "tuning_split": "SELECT doc_id, CASE WHEN right(sha256(CAST(doc_id AS VARCHAR)), 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 'tune' ELSE 'test' END AS side FROM documents",
