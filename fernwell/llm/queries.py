@@ -67,14 +67,18 @@ def op9_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits two replicas of the pages, 4,096 to an archive file, after planted faults; ids choose faults, never rows to read."""
+    """Audits the whole pages table, 4,096 pages to an archive file, against a replica with planted faults.
+
+    The replica has all pages but some lost ones, some with a byte more, and a stray archive with copies of some.
+    """
     from fernwell.llm.fixity import audit_replicas
 
-    pages = table(spark, sf_dir, "pages").select("page_id", F.floor(F.col("page_id") / 4096).cast("string").alias("file"), "url", "html")
-    ours = pages.filter(~((F.col("page_id") * 31 + 5) % 97 == 0) | F.col("page_id").isNull())
-    theirs = pages.filter(~((F.col("page_id") * 37 + 11) % 89 == 0) | F.col("page_id").isNull())
-    flipped = F.when((F.col("page_id") * 41 + 3) % 53 == 0, F.concat(F.col("html"), F.lit("\u0000"))).otherwise(F.col("html"))
-    return audit_replicas(ours, theirs.withColumn("html", flipped), "file", "page_id", ["url", "html"])
+    k = F.coalesce(F.col("page_id"), F.lit(0))
+    ours = table(spark, sf_dir, "pages").select("page_id", F.floor(F.col("page_id") / 4096).cast("string").alias("file"), "url", "html")
+    longer = F.when((k * 41 + 3) % 53 == 0, F.concat(F.col("html"), F.lit("\u0001"))).otherwise(F.col("html"))
+    theirs = ours.filter((k * 37 + 11) % 89 != 0).withColumn("html", longer)
+    stray = ours.filter((k * 31 + 5) % 97 == 0).withColumn("file", F.lit("stray"))
+    return audit_replicas(ours, theirs.unionByName(stray), "file", "page_id", ["url", "html"])
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +130,9 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_fixity": """
         WITH p AS (SELECT page_id AS pos, url, html, CAST(CAST(floor(page_id / 4096) AS BIGINT) AS VARCHAR) AS file FROM pages),
-        a AS (SELECT file, pos, list_sort(list([url, html])) AS rows FROM p WHERE (pos * 31 + 5) % 97 <> 0 GROUP BY file, pos),
-        b AS (SELECT file, pos, list_sort(list([url, CASE WHEN (pos * 41 + 3) % 53 = 0 THEN html || chr(1) ELSE html END])) AS rows
-              FROM p WHERE (pos * 37 + 11) % 89 <> 0 GROUP BY file, pos)
+        a AS (SELECT file, pos, list_sort(list([url, html])) AS rows FROM p GROUP BY file, pos),
+        b AS (SELECT file, pos, list_sort(list([url, CASE WHEN (pos * 41 + 3) % 53 = 0 THEN html || chr(1) ELSE html END])) AS rows FROM p WHERE (pos * 37 + 11) % 89 <> 0 GROUP BY file, pos
+              UNION ALL SELECT 'stray', pos, list_sort(list([url, html])) FROM p WHERE (pos * 31 + 5) % 97 = 0 GROUP BY pos)
         SELECT file, pos, CASE WHEN b.rows IS NULL THEN 'missing' WHEN a.rows IS NULL THEN 'extra' ELSE 'changed' END AS status,
             CAST(floor(pos / 64) * 64 AS BIGINT) AS range_start
         FROM a FULL JOIN b USING (file, pos) WHERE a.rows IS DISTINCT FROM b.rows""",
