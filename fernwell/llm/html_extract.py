@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from fernwell.llm.html_blocks import DIMS, BlockFeatures, blocks
 
-HIDDEN = 20
+HIDDEN = 24
 PAGES_AT_ONCE = 64
 
 
@@ -104,7 +104,7 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, batch: int = 16, rate: float = 0.01, seed: int = 5) -> BlockLabeller:
+def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 9, batch: int = 16, rate: float = 0.01, seed: int = 5) -> BlockLabeller:
     """Fit by back-propagation through time with Adam on the mean logistic loss of the blocks."""
     rng = np.random.default_rng(seed)
 
@@ -140,7 +140,7 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 8, ba
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 500, seed: int = 11) -> BlockLabeller:
+def trained(pages: int = 1000, seed: int = 21) -> BlockLabeller:
     from fernwell.llm.page_maker import make_pages
 
     features, xs, ys = BlockFeatures(), [], []

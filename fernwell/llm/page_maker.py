@@ -17,6 +17,7 @@ NAMES = {
     "form": "form search login signup contact subscribe-form search-form newsletter-form",
     "main": "article post content entry story main body text post-body article-body entry-content main-content story-text page",
 }
+WRAPPERS = "site page site-content content-area site-main wrap wrapper container row home blog inner outer column layout grid root app main-wrap primary"
 ELEMENTS = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form", "main": "article"}
 _SYLLABLES = "an ar be ca da de el en er es fa ga he in is ka la le lo ma me mi na ne no on or pa pe qu ra re ri ro sa se si st ta te th ti to tra un ur va ve za é ü ñ ó ä ç".split()
 
@@ -79,6 +80,10 @@ class PageMaker:
         body = self.known(self.prose(most) if least == 1 else self.phrase(1, 5), False)
         return f"<{tag}>{body}</{tag}>" if self.r.random() < 0.8 else body
 
+    def heading(self) -> str:
+        t = self.r.choice(("h2", "h3", "h3", "h4", "p", "div"))
+        return f"<{t}>{self.phrase(1, 4)}</{t}>"
+
     def noise(self, part: str) -> str:
         r = self.r
         if part == "menu":
@@ -88,14 +93,14 @@ class PageMaker:
         if part == "foot":
             return self.box(part, r.choice(("&copy; ", "© 2024 ", "")) + r.choice((f"{self.word()}.example.com &middot; ", "")) + self.prose(3) + (self.link_list(4) if r.random() < 0.4 else ""), 0.7)
         if part == "side":
-            return self.box(part, f"<h3>{self.phrase(1, 4)}</h3>" + (self.link_list(r.randint(2, 6)) if r.random() < 0.6 else "".join(self.line() for _ in range(r.randint(1, 3)))))
+            return self.box(part, self.heading() + (self.link_list(r.randint(2, 6)) if r.random() < 0.6 else "".join(self.line() for _ in range(r.randint(1, 3)))))
         if part == "ad":
             return (f"<!-- ad {r.randint(0, 99)} -->" if r.random() < 0.4 else "") + self.box(part, self.line(), 0)
         if part == "notice":
             return self.box(part, self.line() + ("<button>Ok</button>" if r.random() < 0.5 else ""), 0)
         if part == "form":
             return f'<form class="{self.name(part)}"><label>{self.phrase(1, 3)}</label><input name="q"><select><option>{self.word()}<option>{self.word()}</select><button>{self.word()}</button>' + (f"<p>{self.phrase(2, 9)}.</p>" if r.random() < 0.4 else "") + "</form>"
-        inside = f"<h3>{self.phrase(1, 3)}</h3>" if r.random() < 0.6 else ""
+        inside = self.heading() if r.random() < 0.6 else ""
         for _ in range(r.randint(1, 5)):
             inside += f'<{(t := r.choice(("div", "li", "article")))} class="{self.name("talk")}"><{(u := r.choice(("b", "span", "h4", "div")))}>{self.phrase(1, 2)}</{u}><p>{self.prose(4)}</p></{t}>'
         return self.box("talk", inside, 0)
@@ -103,16 +108,22 @@ class PageMaker:
     def article(self) -> str:
         r, out = self.r, []
         self.style = r.choice("|!$=") if r.random() < 0.15 else ""
-        again = 0.6 if r.random() < 0.1 else 0.0
+        again = r.choice((0.5, 0.7, 0.9)) if r.random() < 0.2 else 0.0
+        broken = 0.09 if r.random() < 0.6 else 0.25  # share of what interrupts the text
         close = "" if r.random() < 0.12 else "</p>"
         if r.random() < 0.92:
             heading = f"<h1>{self.known(self.phrase(2, 14), True)}</h1>"
-            out.append(f"<header>{heading}</header>" if r.random() < 0.1 else heading)
+            kind = r.choice(("", "", ' class="entry-header"', ' class="post-header"', ' class="article-head"'))
+            out.append(f"<header{kind}>{heading}</header>" if r.random() < 0.2 else heading)
         for _ in range(r.choice((1, 2, 3, 4, 5, 6, 8, 12, 20))):
             kind = r.random()
             if len(out) > 1 and r.random() < again:
                 out.append(out[-1])
-            elif kind < 0.72:
+                continue
+            if r.random() < broken:
+                out.append(self.noise(r.choice(("ad", "side", "form", "notice", "ad", "side", "talk"))))
+                kind = 0.0  # the text goes on
+            if kind < 0.74:
                 text = self.known(self.prose(7), True)
                 out.append(f"<p><b>{text}<br>" if r.random() < 0.12 else f"<p>{text}{close}")
             elif kind < 0.79:
@@ -126,10 +137,10 @@ class PageMaker:
                 out.append("<table>" + "".join("<tr>" + "".join(f"<td>{self.known(self.phrase(1, 3), True)}</td>" for _ in range(2)) + "</tr>" for _ in range(r.randint(1, 4))) + "</table>")
             elif kind < 0.93:
                 out.append(f"<pre>{self.known(self.phrase(2, 12), True)}</pre>")
-            elif kind < 0.95:
-                out.append(f'<figure><img src="a.png"><figcaption>{self.known(self.phrase(2, 10), True)}</figcaption></figure>')
             else:
-                out.append(self.noise(r.choice(("ad", "side", "form", "notice"))))
+                out.append(f'<figure><img src="a.png"><figcaption>{self.known(self.phrase(2, 10), True)}</figcaption></figure>')
+        if r.random() < 0.12:
+            out.append(self.noise(r.choice(("talk", "side", "foot"))))
         return self.box("main", "".join(out), 0.6)
 
     def page(self) -> tuple[str, set[str]]:
@@ -140,7 +151,14 @@ class PageMaker:
         body = self.article() if r.random() < 0.97 else ""
         if r.random() < 0.4:
             body = f"<{(t := r.choice(('main', 'div', 'section')))}>{body}{self.noise('side') if r.random() < 0.3 else ''}</{t}>"
-        page = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{self.phrase(2, 9)}</title><style>p{{margin:0}}</style><script>var t="</p>";go(0);</script></head><body>{before}{body}{after}'
+        if r.random() < 0.35:  # wrappers whose names say nothing, or too much
+            wrap = lambda x: f'<{r.choice(("div", "div", "main", "section"))} {r.choice(("class", "id"))}="{r.choice(WRAPPERS.split())}">{x}</div>'
+            for _ in range(r.randint(1, 3)):
+                if r.random() < 0.5:
+                    body = wrap(body)
+                else:
+                    before, after = wrap(before + body + after).rsplit(body, 1) if body else (before, after)
+        page = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{self.phrase(2, 9)}</title><style>p{{margin:0}}</style><script>var t="</p>";go(0);</script></head><body{r.choice(('', '', ' class="home blog"', ' id="top"'))}>{before}{body}{after}'
         return page + ("</body></html>" if r.random() < 0.9 else ""), self.main
 
 
