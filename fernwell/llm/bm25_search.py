@@ -1,13 +1,20 @@
 """Exact BM25 top-k by block-max WAND over sharded inverted indexes.
 
 Rows are dealt by hash into shards of bounded text. A shard's postings are sorted by term and local row number and cut
-into blocks of ``BLOCK`` rows; every (term, block) keeps the largest score a posting in it can add. For a query the sums
-of these maxima bound each block. Blocks are scored in falling order of bound, and as soon as the k-th best score so far
-exceeds the bound of the next block, that and all later blocks are skipped: the WAND rule with block maxima, on blocks
-that lie alike for all terms, so that one vector operation tests all pivots. Scores use the global row count, document
-frequencies and average length, and add terms in one order, so each shard's top k are exact and so is their merge.
+into blocks of ``BLOCK`` rows; every (term, block) keeps the largest score a posting in it can add. For a query:
 
-Queries stream past the index of their shard; a task holds one shard's index and one query at a time.
+1. The sums of these maxima bound each block. The blocks of highest bound are scored first, which gives a threshold, the
+   k-th best score so far. Blocks whose bound is below it are out.
+2. WAND's pivot: terms in rising order of their maxima, as long as the maxima add up to less than the threshold, can't
+   lift a row over it alone. Only postings of the other terms are read; a row's partial score from them plus the block
+   maxima of the terms left out bounds the row.
+3. Rows are scored in falling order of bound until the bound falls below the threshold, which rises meanwhile.
+
+Blocks lie alike for all terms, so that each step is a few vector operations. Scores use the global row count, document
+frequencies and average length, and each row's terms are added in one order, so each shard's top k are exact, ties
+included, and so is their merge.
+
+Queries stream past the index of their shard; a task holds one shard's index and one batch of queries at a time.
 """
 
 from __future__ import annotations
@@ -24,8 +31,10 @@ from fernwell.llm.common import checkpointed
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-SHARD_CHARS = 48_000_000
-FIRST_BLOCKS = 8
+SHARD_CHARS = 40_000_000
+FIRST_BLOCKS, FIRST_ROWS, SLACK = 1, 16, 1 + 1e-9
+#: The terms left out at first add up to this share of the threshold at most: reading more postings makes closer bounds.
+WEAK_SHARE = 0.15
 _WORD = re.compile(r"\w+")
 _KEPT_WORDS = 300_000
 
@@ -74,53 +83,89 @@ class ShardIndex:
     def __init__(self, docs: list, lengths: list[int], terms: list[bytes], tfs: list[bytes], average: float) -> None:
         self.docs = docs
         sizes = np.array([len(t) // 8 for t in terms], np.int64)
-        term = np.frombuffer(b"".join(terms), np.int64)
-        tf = np.frombuffer(b"".join(tfs), np.int32).astype(np.float64)
+        # by row: each row's terms in rising order, and what each adds before its weight
+        self.row_start = np.r_[0, np.cumsum(sizes)]
+        self.terms, place = np.unique(np.frombuffer(b"".join(terms), np.int64), return_inverse=True)
+        self.row_term = place.astype(np.int32)
+        del place
         row = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+        tf = np.frombuffer(b"".join(tfs), np.int32).astype(np.float64)
         norm = K1 * (1 - B + B * np.array(lengths, np.float64) / max(average, 1e-9))
-        order = np.argsort(term, kind="stable")
-        term, self.row = term[order], row[order]
-        self.part = tf[order] * (K1 + 1) / (tf[order] + norm[self.row])  # what a posting adds, before idf
-        new_term = np.r_[True, term[1:] != term[:-1]] if len(term) else np.zeros(0, bool)
+        self.row_part = tf * (K1 + 1) / (tf + norm[row])
+        del tf
+        # by term: postings in order of rows
+        order = np.argsort(self.row_term, kind="stable")
+        self.row, self.part = row[order], self.row_part[order]
+        self.start = np.r_[0, np.cumsum(np.bincount(self.row_term, minlength=len(self.terms)))].astype(np.int64)
+        # by term and block
         block = self.row // BLOCK
-        self.first = np.flatnonzero(new_term | np.r_[True, block[1:] != block[:-1]]) if len(term) else np.zeros(0, np.int64)  # of each (term, block)
-        self.stop = np.r_[self.first[1:], len(term)]
-        self.block = block[self.first]
-        self.most = np.maximum.reduceat(self.part, self.first) if len(term) else np.zeros(0)
-        self.terms = term[new_term]
-        self.entry = np.r_[np.searchsorted(self.first, np.flatnonzero(new_term)), len(self.first)]  # first (term, block) of a term
+        new = np.r_[True, block[1:] != block[:-1]] if len(block) else np.zeros(0, bool)
+        new[self.start[:-1]] = True
+        first = np.flatnonzero(new)
+        self.block = block[first]
+        self.most = np.maximum.reduceat(self.part, first) if len(first) else np.zeros(0)
+        self.entry = np.searchsorted(first, self.start)
+        self.term_most = np.maximum.reduceat(self.part, self.start[:-1]) if len(first) else np.zeros(0)
         self.blocks = (len(docs) + BLOCK - 1) // BLOCK
+        self.weight = np.zeros(len(self.terms))
+
+    def _exact(self, rows: np.ndarray) -> np.ndarray:
+        """Scores of rows under the weights in ``weight``; every row's terms are added in the order of their hashes."""
+        places, of = _ranges(self.row_start[rows], self.row_start[rows + 1], np.arange(len(rows)))
+        return np.bincount(of, self.weight[self.row_term[places]] * self.row_part[places], minlength=len(rows))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, object]]:
         """The k best (score, doc) by score, then doc (null last); rows without a query term are no hits."""
+        if not len(self.terms):
+            return []
         at = np.searchsorted(self.terms, terms)
-        held = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
+        held = self.terms[np.minimum(at, len(self.terms) - 1)] == terms
         at, weights = at[held], weights[held]
         if not len(at):
             return []
-        entries, weight = _ranges(self.entry[at], self.entry[at + 1], weights)
-        bound = np.bincount(self.block[entries], weight * self.most[entries], minlength=self.blocks)
-        falling = np.argsort(-bound, kind="stable")
-        falling = falling[: np.count_nonzero(bound)]
+        self.weight[at] = weights
+        best = self._top(at, weights, k)
+        self.weight[at] = 0
+        return best
+
+    def _top(self, at: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, object]]:
+        entries, of = _ranges(self.entry[at], self.entry[at + 1], np.arange(len(at)))
+        most, block = weights[of] * self.most[entries], self.block[entries]
+        bound = np.bincount(block, most, minlength=self.blocks)
         best: list[tuple[float, object]] = []
-        done, step = 0, FIRST_BLOCKS
-        while done < len(falling):
-            if len(best) >= k and bound[falling[done]] * (1 + 1e-9) < best[k - 1][0]:
-                break  # no later block can hold a hit
-            now = falling[done : done + step]
-            if len(best) >= k:
-                now = now[bound[now] * (1 + 1e-9) >= best[k - 1][0]]
-            chosen = np.zeros(self.blocks, bool)
-            chosen[now] = True
-            pick = chosen[self.block[entries]]
-            places, w = _ranges(self.first[entries[pick]], self.stop[entries[pick]], weight[pick])
-            scores = np.bincount(self.row[places], w * self.part[places])  # adds in the order of terms
-            least = best[k - 1][0] if len(best) >= k else 0.0
-            hits = np.flatnonzero((scores >= least) & (scores > 0))
-            if len(hits) > 4 * k:
-                kth = np.partition(scores[hits], len(hits) - k)[len(hits) - k]
-                hits = hits[scores[hits] >= kth]
-            best = sorted([*best, *((float(scores[h]), self.docs[h]) for h in hits)], key=lambda x: (-x[0], x[1] is None, x[1]))[:k]
+
+        def take(rows: np.ndarray) -> float:
+            """Score rows, keep the best k and return the threshold."""
+            nonlocal best
+            scores = self._exact(rows)
+            keep = np.flatnonzero(scores > 0)
+            if len(keep) > k:
+                kth = np.partition(scores[keep], len(keep) - k)[len(keep) - k]
+                keep = keep[scores[keep] >= kth]
+            best = sorted([*best, *((float(scores[i]), self.docs[rows[i]]) for i in keep)], key=lambda x: (-x[0], x[1] is None, x[1]))[:k]
+            return best[k - 1][0] if len(best) == k else 0.0
+
+        first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
+        rows = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        least = take(rows[rows < len(self.docs)])
+        open_blocks = bound * SLACK >= least
+        open_blocks[first] = False
+        if not open_blocks.any():
+            return best
+        rising = np.argsort(weights * self.term_most[at], kind="stable")
+        weak = np.zeros(len(at), bool)
+        weak[rising] = np.cumsum((weights * self.term_most[at])[rising]) * SLACK < WEAK_SHARE * least
+        strong = ~weak
+        places, w = _ranges(self.start[at[strong]], self.start[at[strong] + 1], weights[strong])
+        partial = np.bincount(self.row[places], w * self.part[places], minlength=len(self.docs))
+        rest = np.bincount(block[weak[of]], most[weak[of]], minlength=self.blocks)
+        of_block = np.arange(len(self.docs)) // BLOCK
+        limit = (partial + rest[of_block]) * SLACK
+        rows = np.flatnonzero((partial > 0) & open_blocks[of_block] & (limit >= least))
+        rows = rows[np.argsort(-limit[rows], kind="stable")]
+        done, step = 0, FIRST_ROWS
+        while done < len(rows) and limit[rows[done]] >= least:
+            least = max(least, take(rows[done : done + step]))
             done, step = done + step, step * 2
         return best
 
@@ -186,6 +231,6 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id"
             of_kind = b.schema.field(2).type
             yield pa.RecordBatch.from_arrays([pa.array(query_ids, of_kind), pa.array(doc_ids, of_kind), pa.array(scores, pa.float64())], names=["query_id", "doc", "score"])
 
-    found = index.unionByName(everywhere).repartition(shards, "shard").sortWithinPartitions("shard", "stage").mapInArrow(search, f"query_id {kind}, doc {kind}, score double")
+    found = index.unionByName(everywhere).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "stage").mapInArrow(search, f"query_id {kind}, doc {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("doc").alias(id_col), "score")
