@@ -57,7 +57,7 @@ def test_bm25_empty_and_null(spark):
 def test_backoff_equals_brute_force(spark, partition_chars):
     rows = corpus(2, 120)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(4)
-    got = {r["doc_id"]: r for r in backoff_lm.scores(docs, partition_chars=partition_chars).collect()}
+    got = {r["doc_id"]: r for r in backoff_lm.scores(docs, word_part_chars=partition_chars, pair_part_chars=partition_chars).collect()}
     texts = {i: re.findall(r"\w+", (t or "").lower()) for i, t in rows}
     one, two = Counter(), Counter()
     for w in texts.values():
