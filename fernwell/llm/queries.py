@@ -95,9 +95,10 @@ def op3_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by the full count tables: a pair seen once counts like any other."""
     from fernwell.llm.backoff_lm import scores
 
-    return scores(table(spark, sf_dir, "documents"))
+    return scores(table(spark, sf_dir, "documents"), min_count=1)
 
 
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from fernwell.llm import backoff_lm, bm25_search
+from fernwell.llm import backoff_lm, bm25_search, queries
 
 WORDS = "the of and to in oak elm ash fir yew red blue green stone river cloud".split()
 
@@ -81,3 +81,21 @@ def test_backoff_empty_and_ties(spark):
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in backoff_lm.scores(twice).collect()}
     assert got == {1: 6, None: 2}
+
+
+def test_backoff_query_counts_pairs_seen_once(spark, tmp_path):
+    rows = [*corpus(7, 60), (900, "seen only here"), (None, "oak seen"), (None, "seen only"), (900, "oak")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    texts = [(i, re.findall(r"\w+", (t or "").lower())) for i, t in rows]
+    context, two = Counter(), Counter()
+    for _, w in texts:
+        if w:
+            context.update(["<s>", *w])
+            two.update(zip(["<s>", *w], [*w, "</s>"]))
+    assert any(n == 1 for n in two.values())
+    want = Counter()
+    for i, w in texts:
+        want[i] += sum(math.log(two[pair] / context[pair[0]]) for pair in zip(["<s>", *w], [*w, "</s>"])) if w else 0
+    got = {r["doc_id"]: r["score"] for r in queries.op7_backoff_lm(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want)
+    assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
