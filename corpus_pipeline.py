@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each SimHash group."""
-    from fernwell.llm.simhash_dedup import keep_one
+    """Keeps the document of smallest id of each group of near copies, of five-word shingles alike by 0.8 or more."""
+    from fernwell.llm.shingle_dedup import keep_one
 
     return keep_one(docs)
 
