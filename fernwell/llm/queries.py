@@ -44,25 +44,41 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 12 shards by source, a third of whose bytes are in one of them, to 16 of equal capacity in bytes."""
-    from fernwell.llm.reshard import reshard
+    """From 12 shards by source, a third of whose bytes are in one of them, to 16 of equal capacity in bytes.
 
+    Lays the documents out in the old shards, rewrites the affected ones and reads every row from the files it ends up in.
+    """
+    from uuid import uuid4
+
+    from fernwell.llm.common import shared_folder
+    from fernwell.llm.reshard import lay_out, reshard, rewrite_affected
+
+    folder = f"{shared_folder(spark)}/reshard-{uuid4().hex}"
+    old_shard = F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)).cast("int")
+    rows = table(spark, sf_dir, "documents").withColumn("row", F.monotonically_increasing_id()).withColumn("shard", old_shard)
+    lay_out(rows, f"{folder}/old")
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("key"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "utf-8")).alias("salt"),
-        F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)).cast("int").alias("old"),
-    )
-    return reshard(sized, OLD_SHARDS, NEW_SHARDS).select(
-        F.col("key").alias("doc_id"),
-        "size",
-        F.col("salt").alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        F.col("shard").cast("int").alias("shard"),
-        F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-        F.col("old").alias("old_shard"),
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(F.encode(text, "utf-8"))
+    old = spark.read.schema(rows.schema).parquet(f"{folder}/old")  # without rows there is no file to tell it
+    placed = reshard(old.select(F.col("row").alias("key"), size.alias("size"), crc.alias("salt"), F.col("shard").cast("int").alias("old")), OLD_SHARDS, NEW_SHARDS)
+    affected = rewrite_affected(f"{folder}/old", f"{folder}/new", placed, "row")
+    of_row = placed.select(F.col("key").alias("row"), F.col("old").alias("old_shard"))
+    files = spark.read.parquet(f"{folder}/new").select("row", "doc_id", "text", "shard", "slot") if affected else None
+    kept = old.filter(~F.col("shard").isin(affected)).join(placed.select(F.col("key").alias("row"), "slot"), "row").select("row", "doc_id", "text", "shard", "slot")
+    found = files.unionByName(kept) if affected else kept
+    return (
+        found.select("row", "doc_id", size.alias("size"), crc.alias("text_crc32"), "shard", "slot")
+        .join(of_row, "row")
+        .select(
+            "doc_id",
+            "size",
+            "text_crc32",
+            F.lit("bytes").alias("law"),
+            F.col("shard").cast("int").alias("shard"),
+            F.col("slot").cast("long").alias("slot"),
+            F.lit(None).cast("int").alias("grown_shard"),
+            "old_shard",
+        )
     )
 
 

@@ -123,17 +123,31 @@ def reshard(sized: DataFrame, old_shards: int, new_shards: int, capacities: list
     return placed.join(F.broadcast(bases), ["shard", "old", "block"]).withColumn("slot", F.col("slot_base") + F.col("nth") - 1).drop("nth", "slot_base", "base", "within", "block")
 
 
+def lay_out(rows: DataFrame, path: str) -> None:
+    """Write ``rows`` as Parquet in a folder ``shard=N`` for each value of their column ``shard``."""
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
 def rewrite_affected(old_path: str, new_path: str, placed: DataFrame, key_col: str) -> list[int]:
     """Write new generations of the shards whose rows change and return their numbers.
 
-    ``old_path`` holds Parquet in folders ``shard=N``; ``placed`` has ``key``, ``old`` and ``shard`` with unique keys.
+    ``old_path`` holds Parquet in folders ``shard=N``; ``placed`` has ``key``, ``old``, ``shard`` and ``slot``, a row for each
+    row there. Null keys are keys. Rows alike in key and old shard are paired off in any order, so none is lost or doubled;
+    where their sizes differ, the caller takes a key that is unique. Unique keys move the rows once, others once more for the
+    pairing. New files hold ``slot`` too and are in its order; each task writes one a shard.
     A shard that neither gives nor takes a row is not read or written; the caller keeps its folder in the manifest.
     """
     spark = placed.sparkSession
     moved = placed.filter("old <> shard")
     affected = sorted({r[0] for r in moved.select(F.explode(F.array("old", "shard"))).distinct().collect()})  # shard numbers
     if affected:
-        rows = spark.read.parquet(old_path).filter(F.col("shard").isin(affected)).drop("shard")
-        target = placed.filter(F.col("shard").isin(affected)).select(F.col("key").alias(key_col), "shard")
-        rows.join(target, key_col).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(new_path)
+        rows = spark.read.parquet(old_path).filter(F.col("shard").isin(affected)).withColumnRenamed("shard", "__old")
+        target = placed.filter(F.col("shard").isin(affected)).select(F.col("key").alias("__key"), F.col("old").alias("__from"), "shard", "slot")
+        same = F.col(key_col) == F.col("__key")
+        if not placed.groupBy("key").count().filter("count > 1 or key is null").isEmpty():
+            nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
+            rows, target = rows.withColumn("__nth", nth("__old", key_col)), target.withColumn("__n", nth("__from", "__key"))
+            same = F.col(key_col).eqNullSafe(F.col("__key")) & (F.col("__old") == F.col("__from")) & (F.col("__nth") == F.col("__n"))
+        both = rows.join(target, same).drop("__old", "__nth", "__key", "__from", "__n")
+        lay_out(both.sortWithinPartitions("shard", "slot"), new_path)
     return affected

@@ -213,6 +213,33 @@ def test_reshard_rewrites_affected_files_only(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "new")).groupBy("shard").count().orderBy("shard").collect() == [(0, 40), (1, 40)]
 
 
+def test_reshard_rewrites_null_and_repeated_keys(spark, tmp_path):
+    rows = [(None if i % 9 == 0 else i % 40, 10, 0 if i < 90 else 1, 0) for i in range(120)]
+    spark.createDataFrame([(k, f"t{i}", o) for i, (k, _, o, _) in enumerate(rows)], "doc_id long, text string, shard int").write.partitionBy("shard").parquet(str(tmp_path / "old"))
+    placed = reshard.reshard(spark.createDataFrame(rows, "key long, size long, old int, salt long"), 2, 3, blocks=8)
+    assert reshard.rewrite_affected(str(tmp_path / "old"), str(tmp_path / "new"), placed, "doc_id") == [0, 1, 2]
+    new = spark.read.parquet(str(tmp_path / "new")).collect()
+    assert sorted(r["text"] for r in new) == sorted(f"t{i}" for i in range(120))
+    assert sorted((r["shard"], str(r["doc_id"])) for r in new) == sorted((r["shard"], str(r["key"])) for r in placed.collect())
+    assert sorted((r["shard"], r["slot"]) for r in new) == sorted((r["shard"], r["slot"]) for r in placed.collect())
+
+
+def test_reshard_query_reads_rewritten_files(spark, tmp_path, monkeypatch):
+    r = random.Random(12)
+    rows = [(None if i % 11 == 0 else i % 70, None if i == 5 else prose(r, r.randint(0, 60)), f"s{i % 3}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    calls, rewrite = [], reshard.rewrite_affected
+    monkeypatch.setattr(reshard, "rewrite_affected", lambda *a: calls.append(a[:2]) or rewrite(*a))
+    got = queries.op9_reshard(spark, str(tmp_path)).collect()
+    new = spark.read.parquet(calls[0][1]).collect()
+    text = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert sorted((str(d), *text(t)) for d, t, _ in rows) == sorted((str(x["doc_id"]), x["size"], x["text_crc32"]) for x in got)
+    assert {(x["shard"], x["slot"]): text(x["text"]) for x in new}.items() <= {(x["shard"], x["slot"]): (x["size"], x["text_crc32"]) for x in got}.items()
+    assert new and len({(x["shard"], x["slot"]) for x in got}) == len(rows)
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert queries.op9_reshard(spark, str(tmp_path / "none")).count() == 0
+
+
 def brute_contained(docs, items, t=0.8):
     def shingles(text):
         w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
