@@ -53,25 +53,31 @@ def test_bm25_empty_and_null(spark):
     assert {(r["query_id"], r["doc_id"]) for r in got} == {(10, 10), (10, None)}
 
 
-@pytest.mark.parametrize("partition_chars", [10**9, 3_000])
-def test_backoff_equals_brute_force(spark, partition_chars):
+@pytest.mark.parametrize("order, min_count, sizes", [(2, 1, {}), (2, 2, {"block_chars": 3_000, "task_tokens": 500}), (3, 1, {"block_chars": 5_000}), (4, 3, {"task_tokens": 900}), (1, 1, {})])
+def test_backoff_equals_brute_force(spark, order, min_count, sizes):
     rows = corpus(2, 120)
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(4)
-    got = {r["doc_id"]: r for r in backoff_lm.scores(docs, word_part_chars=partition_chars, pair_part_chars=partition_chars).collect()}
+    got = {r["doc_id"]: r for r in backoff_lm.scores(docs, order=order, min_count=min_count, **sizes).collect()}
     texts = {i: re.findall(r"\w+", (t or "").lower()) for i, t in rows}
-    one, two = Counter(), Counter()
+    count, total = Counter(), 0
     for w in texts.values():
-        if w:
-            one.update([*w, "</s>"])
-            one["<s>"] += 1
-            two.update(zip(["<s>", *w], [*w, "</s>"]))
-    total = sum(n for w, n in one.items() if w != "<s>")
+        w = ["<s>", *w, "</s>"] if w else []
+        total += max(0, len(w) - 1)
+        for k in range(1, order + 1):
+            count.update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    def log_score(context, word):
+        if not context:
+            return math.log(count[(word,)] / total)
+        if count[(*context, word)] >= min_count:
+            return math.log(count[(*context, word)] / count[context])
+        return math.log(0.4) + log_score(context[1:], word)
+
     assert set(got) == set(texts)
     for i, w in texts.items():
-        score = 0.0
-        for pair in zip(["<s>", *w], [*w, "</s>"]) if w else ():
-            score += math.log(two[pair] / one[pair[0]]) if two[pair] >= 2 else math.log(0.4 * one[pair[1]] / total)
-        assert got[i]["n_tokens"] == (len(w) + 1 if w else 0)
+        w = ["<s>", *w, "</s>"] if w else []
+        score = sum(log_score(tuple(w[max(0, i - order + 1) : i]), w[i]) for i in range(1, len(w)))
+        assert got[i]["n_tokens"] == max(0, len(w) - 1)
         assert got[i]["score"] == pytest.approx(score, abs=1e-6)
         assert (got[i]["mean_score"] is None) == (not w)
 
