@@ -7,9 +7,13 @@ to every anchor within covering radius plus the part's share of the threshold, 1
 so two linked fingerprints always meet at the anchor nearest to either of them; there they are compared exactly.
 
 Scale. Equal fingerprints are folded into one row before anything is copied, so groups of exact copies cost one row.
-An anchor's fingerprints are compared in a breadth-first walk that takes members out as it reaches them: a dense group of
-near copies costs about one pass, and only a spanning forest leaves the task, never all pairs. Components come from
-alternating large-star and small-star rounds over those few links, cut by checkpoints; nothing is collected.
+Within an anchor, linked fingerprints agree in at least one of five pieces of the bits outside the anchor's part, so only
+those that agree in a piece are compared: some 1/400 of the pairs of an anchor. A dense group of near copies is walked
+breadth-first in blocks that take members out as they reach them, which costs about one pass, and only a spanning forest
+leaves the task, never all pairs. Components come from alternating large-star and small-star rounds over those few links,
+cut by checkpoints; nothing is collected.
+
+Stages that ask for near copies by the similarity of their shingles (``keep_one``) start from the same anchors.
 """
 
 from __future__ import annotations
@@ -28,8 +32,13 @@ SHINGLE = 4
 #: (first bit, bits) of each part.
 PARTS = ((0, 21), (21, 21), (42, 22))
 CODE_BITS = 15
+#: Pieces of the bits outside each part: one more than the threshold.
+PIECES = THRESHOLD + 1
+#: Longer runs are walked in blocks; both ways give the same components.
 PAIRWISE = 32
 BLOCK = 512
+#: Linked fingerprints that a task remembers, so as not to send links that join nothing.
+REMEMBERED = 1_000_000
 _BYTE_AT = 256 * np.arange(8, dtype=np.int64)
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -99,25 +108,36 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def _near(block: np.ndarray, rest: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first place, which of ``rest`` from there are near each of ``block``), in bounded pieces."""
+    for at in range(0, len(rest), 1 << 14):
+        yield at, np.bitwise_count(block[:, None] ^ rest[None, at : at + (1 << 14)]) <= threshold
+
+
 def forest(fps: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Links that join the distinct ``fps`` of one anchor into the components of the threshold graph.
+    """Links that join distinct ``fps`` into the components of the threshold graph.
 
-    A breadth-first walk in blocks; reached members leave the set that later steps compare with.
+    Fingerprints that are near none are set aside a block at a time. From each other one a breadth-first walk in blocks
+    takes its component out, so that later steps compare with less.
     """
-    links, rest = [], fps
+    links: list[tuple[int, int]] = []
+    rest = fps
     while len(rest):
-        frontier, rest = rest[:1], rest[1:]
-        while len(frontier) and len(rest):
-            block, frontier = frontier[:BLOCK], frontier[BLOCK:]
-            reached = []
-            for at in range(0, len(rest), 1 << 14):
-                near = np.bitwise_count(block[:, None] ^ rest[None, at : at + (1 << 14)]) <= threshold
-                found = near.any(axis=0)
-                hit = np.flatnonzero(found)
-                links.extend(zip(block[near[:, hit].argmax(axis=0)].tolist(), rest[at + hit].tolist()))
-                reached.append(found)
-            found = np.concatenate(reached)
-            frontier, rest = np.concatenate([frontier, rest[found]]), rest[~found]
+        seeds = rest[:BLOCK]
+        hits = sum(near.sum(axis=1) for _, near in _near(seeds, rest, threshold))
+        seeds = seeds[hits > 1]  # each is near itself
+        rest = np.concatenate([seeds, rest[BLOCK:]])
+        while len(seeds):
+            frontier, rest = rest[:1], rest[1:]
+            while len(frontier) and len(rest):
+                block, frontier = frontier[:BLOCK], frontier[BLOCK:]
+                reached = np.zeros(len(rest), bool)
+                for at, near in _near(block, rest, threshold):
+                    hit = np.flatnonzero(near.any(axis=0))
+                    links.extend(zip(block[near[:, hit].argmax(axis=0)].tolist(), rest[at + hit].tolist()))
+                    reached[at + hit] = True
+                frontier, rest = np.concatenate([frontier, rest[reached]]), rest[~reached]
+            seeds = seeds[np.isin(seeds, rest)]  # they stand first in what is left
     return links
 
 
@@ -128,7 +148,7 @@ def linked(keys: np.ndarray, fps: np.ndarray, threshold: int = THRESHOLD) -> lis
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[starts, len(keys)])
     links: list[tuple[int, int]] = []
-    short = np.repeat(lengths <= PAIRWISE, lengths)
+    short = np.repeat((lengths > 1) & (lengths <= PAIRWISE), lengths)
     k, f = keys[short], fps[short]
     for lag in range(1, min(PAIRWISE, len(k))):
         same = k[lag:] == k[:-lag]
@@ -141,6 +161,27 @@ def linked(keys: np.ndarray, fps: np.ndarray, threshold: int = THRESHOLD) -> lis
     return links
 
 
+def linked_by_pieces(keys: np.ndarray, fps: np.ndarray, threshold: int = THRESHOLD) -> Iterator[tuple[int, int]]:
+    """Links among the fingerprints of equal anchor ``keys`` (sorted), found among those that share a piece of their other bits."""
+    for part, (low, bits) in enumerate(PARTS):
+        here = keys >> 24 == part
+        k, f = keys[here], fps[here]
+        if len(k) < 2:
+            continue
+        same = np.zeros(len(k), bool)
+        same[1:] = k[1:] == k[:-1]
+        same[:-1] |= same[1:]
+        k, f = k[same], f[same]  # a fingerprint alone at its anchor has no link there
+        rest = (f & np.uint64((1 << low) - 1)) | ((f >> np.uint64(low + bits)) << np.uint64(low))
+        width = 64 - bits
+        for piece in range(PIECES):
+            at, end = width * piece // PIECES, width * (piece + 1) // PIECES
+            sub = ((rest >> np.uint64(at)) & np.uint64((1 << (end - at)) - 1)).astype(np.int64)
+            key = (k << 9) | sub
+            by = np.argsort(key, kind="stable")
+            yield from linked(key[by], f[by], threshold)
+
+
 class Roots:
     """Union-find over the few linked fingerprints of one task."""
 
@@ -153,14 +194,38 @@ class Roots:
             up[x] = x = up[y]
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
         a, b = self.root(a), self.root(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], least_rows: int = 100_000) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, as tables that hold each value of it as a whole, of ``least_rows`` where there are as many."""
+    ready: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ready.append(b)
+        rows += b.num_rows
+        keys = b.column(0).to_numpy(zero_copy_only=False)
+        if rows < least_rows or ready[0].column(0)[0].as_py() == keys[-1]:
+            continue  # too few yet, or all of one group so far
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut or len(ready) > 1 and ready[-2].column(0)[-1].as_py() != keys[-1]:
+            yield pa.Table.from_batches([*ready[:-1], b.slice(0, cut)])
+            ready, rows = [b.slice(cut)], b.num_rows - cut
+    if ready:
+        yield pa.Table.from_batches(ready)
 
 
 def links_by_anchor(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Spanning links ``a``, ``b`` (a > b) among the distinct fingerprints in column ``fp``."""
+    """Spanning links ``a``, ``b`` (linked pairs themselves) among the distinct fingerprints in column ``fp``."""
+    if threshold > THRESHOLD:
+        raise ValueError(f"three parts with one bit each reach {THRESHOLD} bits")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,26 +237,13 @@ def links_by_anchor(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFram
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = Roots()
-        keys, fps, ready = np.zeros(0, np.int64), np.zeros(0, np.uint64), []
-        for b in batches:
-            k, f = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(k):
-                continue
-            ready.append((k, f))
-            if k[-1] == ready[0][0][0]:
-                continue  # all of one anchor so far
-            keys, fps = (np.concatenate(x) for x in zip(*ready))
-            cut = np.searchsorted(keys, k[-1])
-            for x, y in linked(keys[:cut], fps[:cut], threshold):
-                roots.join(x, y)
-            ready = [(keys[cut:], fps[cut:])]
-        if ready:
-            keys, fps = (np.concatenate(x) for x in zip(*ready))
-            for x, y in linked(keys, fps, threshold):
-                roots.join(x, y)
-        pairs = np.array([(x, roots.root(x)) for x in list(roots.up)], np.uint64).reshape(-1, 2)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], names=["a", "b"])
+        for t in whole_groups(batches):
+            keys, fps = t.column("anchor").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+            new = [(a, b) for a, b in linked_by_pieces(keys, fps, threshold) if roots.join(a, b)]
+            pairs = np.array(new, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], names=["a", "b"])
+            if len(roots.up) > REMEMBERED:
+                roots = Roots()
 
     spread_out = distinct.select("fp").mapInArrow(spread, "anchor long, fp long")
     return spread_out.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
@@ -232,21 +284,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = checkpointed(with_fingerprint(docs, id_col, text_col))
     distinct = rows.groupBy("fp").agg(F.min("doc").alias("least"))
     roots = components(links_by_anchor(distinct, threshold))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = named.select("fp", "root", "least")
-    smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    ids = named.join(smallest, "root").select("fp", "component")
-    return rows.join(ids, "fp").select(
+    # only linked fingerprints take part; both sides of each join are exchanges of their own, so that Spark can split a large root
+    members = checkpointed(distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least"))
+    smallest = checkpointed(members.groupBy("root").agg(F.min("least").alias("component")))
+    ids = checkpointed(members.join(smallest, "root").select("fp", "component"))
+    named = checkpointed(distinct.join(ids, "fp", "left").select("fp", F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("least")).alias("component")))
+    return rows.join(named, "fp").select(
         F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the row of smallest id of each near-duplicate group only; rows with a null id are kept as they are."""
-    from pyspark.sql import Window
-
-    kept = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.length(text_col))
-    one = docs.join(kept, id_col, "left_semi").withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").select(*columns)
-    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+    """``docs`` with one row of each group of near copies, by five-word shingles; see ``shingle_dedup``."""
+    from fernwell.llm import shingle_dedup
+
+    return shingle_dedup.keep_one(docs, id_col, text_col)

@@ -59,10 +59,6 @@ def test_simhash_equals_all_pairs(spark):
     want = sorted((str(d), f"{f:016x}", str(c)) for d, f, c in zip(ids, fps, groups(ids, fps, 4)))
     assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got) == want
     assert simhash_dedup.near_duplicates(docs.limit(0)).count() == 0
-    kept = simhash_dedup.keep_one(docs)
-    assert kept.columns == docs.columns
-    best = {c for d, c in zip(ids, groups(ids, fps, 4)) if d is not None}
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted(best & set(ids))
 
 
 def test_simhash_anchors_meet_and_dense_groups():
@@ -87,6 +83,26 @@ def test_simhash_anchors_meet_and_dense_groups():
     assert len(set(zip(ours, brute))) == len(set(ours)) == len(set(brute))
 
 
+def test_crowded_anchor_equals_all_pairs():
+    """Some 3,000 fingerprints of one anchor: pairs, chains, a dense group and many that have no link."""
+    r = np.random.default_rng(6)
+    flip = lambda x, n: x ^ np.uint64(sum(1 << int(b) for b in r.choice(np.arange(21, 64), n, replace=False)))  # noqa: E731 - the part's bits stay
+    alone = (r.integers(0, 2**63, 1500, dtype=np.uint64) >> np.uint64(21)) << np.uint64(21)
+    chain = [alone[0]]
+    for _ in range(300):
+        chain.append(flip(chain[-1], 4))
+    fps = np.unique(np.array([*alone, *chain, *[flip(x, 3) for x in alone[1:500]], *[flip(alone[7], 2) for _ in range(700)]], np.uint64))
+    keys = np.zeros(len(fps), np.int64)
+    brute = groups(list(range(len(fps))), [int(v) for v in fps], 4)
+    for links in (simhash_dedup.forest(fps), list(simhash_dedup.linked_by_pieces(keys, fps))):
+        roots = simhash_dedup.Roots()
+        for a, b in links:
+            assert bin(int(a) ^ int(b)).count("1") <= 4
+            roots.join(int(a), int(b))
+        ours = [roots.root(int(v)) for v in fps]
+        assert len(set(zip(ours, brute))) == len(set(ours)) == len(set(brute)) > 900
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 

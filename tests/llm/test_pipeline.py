@@ -2,10 +2,11 @@
 
 import hashlib
 
-from test_operators import brute_contained, groups
+from test_operators import brute_contained
+from test_shingle_dedup import brute_kept
 
 import corpus_pipeline
-from fernwell.llm import quality_fm, queries, simhash_dedup
+from fernwell.llm import quality_fm, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,8 +19,7 @@ def test_pipeline_equals_plain_python(spark):
     model = quality_fm.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     features = quality_fm.Features()
     good = [d for d, r in rows.items() if model.score(*features.row(r["text"], [r["n_chars"]])) >= quality_fm.THRESHOLD]
-    least = groups(good, [simhash_dedup.fingerprint(rows[d]["text"]) for d in good], 4)
-    one = [d for d, c in zip(good, least) if d == c]
+    one = [good[i] for i in brute_kept([(d, rows[d]["text"]) for d in good])]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     held = {d for d, _ in brute_contained([(d, rows[d]["text"]) for d in one], items)}
     library = Tokenizer.from_file(queries.tokenizer_file())
