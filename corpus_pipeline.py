@@ -21,8 +21,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies, of five-word shingles alike by 0.8 or more."""
-    from fernwell.llm.shingle_dedup import keep_one
+    """Keeps the document of smallest id of each group of near copies, of five-word shingles alike by 0.8 or more.
+
+    Rows are judged each by its own text: repeated or null ids hide nothing. Null texts count as empty; of empty texts, and
+    of rows alike in id and text, one stays. No rows: no rows. Other columns come along.
+    """
+    from fernwell.llm.simhash_dedup import keep_one
 
     return keep_one(docs)
 
