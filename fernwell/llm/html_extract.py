@@ -4,6 +4,9 @@ Every page becomes the sequence of its leaf blocks (``html_blocks``). A bidirect
 their tag-path, hashed-word and shape vectors, so that each block is judged with the whole document as context, and labels
 it main text or not. The network is trained here, from a fixed seed, on pages that ``page_maker`` writes with known labels;
 it is a few thousand numbers and travels with the task. Pages are labelled where they are read, without a shuffle.
+
+Pages of like length are labelled together, as many as fill ``CELLS`` steps; a longer page is read in slices of as many,
+forwards and then backwards, so that only its hidden states, 200 bytes a block, are held as a whole.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fernwell.llm.html_blocks import DIMS, BlockFeatures, blocks
+from fernwell.llm.html_blocks import DIMS, Block, BlockFeatures, blocks
 
 HIDDEN = 24
 PAGES_AT_ONCE = 64
+#: Steps of the network, padding included, whose features are in memory at once.
+CELLS = 8192
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -33,12 +38,15 @@ class Direction:
     wh: np.ndarray
     b: np.ndarray
 
-    def run(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """Hidden states of padded sequences (steps x pages x dims); a masked step keeps the state."""
+    def run(self, x: np.ndarray, mask: np.ndarray, state: tuple[np.ndarray, np.ndarray] | None = None, tape: list | None = None):
+        """Hidden states of padded sequences (steps x pages x dims) and the last state; a masked step keeps the state.
+
+        ``tape``, if given, gets what ``back`` needs of each step.
+        """
         steps, pages, _ = x.shape
         fed = x @ self.wx + self.b
-        h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
-        out, kept = np.zeros((steps, pages, HIDDEN), np.float32), []
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
+        out = np.zeros((steps, pages, HIDDEN), np.float32)
         for t in range(steps):
             z = fed[t] + h @ self.wh
             gates, g = _sigmoid(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
@@ -46,10 +54,11 @@ class Direction:
             c_new = f * c + i * g
             s = np.tanh(c_new)
             m = mask[t][:, None]
-            kept.append((h, c, i, f, o, g, s, m))
+            if tape is not None:
+                tape.append((h, c, i, f, o, g, s, m))
             h, c = m * (o * s) + (1 - m) * h, m * c_new + (1 - m) * c
             out[t] = h
-        return out, kept
+        return out, (h, c)
 
     def back(self, x: np.ndarray, kept: list, d_out: np.ndarray) -> list[np.ndarray]:
         """Gradients of wx, wh and b."""
@@ -77,27 +86,50 @@ class BlockLabeller:
     wy: np.ndarray
     by: float
 
-    def scores(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """For each page's block features the probability of main text of each block."""
+    def scores(self, pages: list[list[Block]], features: BlockFeatures) -> list[np.ndarray]:
+        """For each page the probability of main text of each of its blocks."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-        for at in range(0, len(order), PAGES_AT_ONCE):
-            some = order[at : at + PAGES_AT_ONCE]
-            x, mask = _padded([pages[k] for k in some])
-            p = self._forward(x, mask)[0]
+        while order:
+            some = [order.pop()]
+            while order and len(some) < PAGES_AT_ONCE and len(pages[some[0]]) * (len(some) + 1) <= CELLS:
+                some.append(order.pop())
+            p = self._page_scores([pages[k] for k in some], features)
             for j, k in enumerate(some):
                 out[k] = p[: len(pages[k]), j]
         return out
 
-    def _forward(self, x: np.ndarray, mask: np.ndarray):
-        ha, ka = self.ahead.run(x, mask)
-        hb, kb = self.behind.run(x[::-1], mask[::-1])
+    def _page_scores(self, pages: list[list[Block]], features: BlockFeatures) -> np.ndarray:
+        steps = max(map(len, pages))
+        size = max(1, CELLS // len(pages))
+        slices = [(at, min(at + size, steps)) for at in range(0, steps, size)]
+        z = np.full((steps, len(pages)), self.by, np.float32)
+        read = lambda lo, hi: _padded([features.page(p, lo, hi) for p in pages], hi - lo)
+        state, last = None, None
+        for lo, hi in slices:
+            last = read(lo, hi)
+            h, state = self.ahead.run(*last, state)
+            z[lo:hi] += h @ self.wy[:HIDDEN]
+        state = None
+        for lo, hi in reversed(slices):
+            x, mask = last if last else read(lo, hi)
+            last = None
+            h, state = self.behind.run(x[::-1], mask[::-1], state)
+            z[lo:hi] += h[::-1] @ self.wy[HIDDEN:]
+        return _sigmoid(z)
+
+    def forward(self, x: np.ndarray, mask: np.ndarray):
+        """Probabilities, hidden states and the tapes of both directions, for training."""
+        ka: list = []
+        kb: list = []
+        ha, _ = self.ahead.run(x, mask, tape=ka)
+        hb, _ = self.behind.run(x[::-1], mask[::-1], tape=kb)
         h = np.concatenate([ha, hb[::-1]], axis=2)
         return _sigmoid(h @ self.wy + self.by), h, ka, kb
 
 
-def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    steps = max(map(len, pages))
+def _padded(pages: list[np.ndarray], steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    steps = steps or max(map(len, pages))
     x, mask = np.zeros((steps, len(pages), DIMS), np.float32), np.zeros((steps, len(pages)), np.float32)
     for j, p in enumerate(pages):
         x[: len(p), j], mask[: len(p), j] = p, 1
@@ -125,7 +157,7 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 9, ba
             y = np.zeros_like(mask)
             for c, j in enumerate(some):
                 y[: len(labels[j]), c] = labels[j]
-            p, h, ka, kb = net._forward(x, mask)
+            p, h, ka, kb = net.forward(x, mask)
             dy = ((p - y) * mask / mask.sum()).astype(np.float32)
             dh = dy[:, :, None] * net.wy
             grads = [*net.ahead.back(x, ka, dh[:, :, :HIDDEN]), *net.behind.back(x[::-1], kb, dh[::-1, :, HIDDEN:]), np.einsum("tp,tph->h", dy, h), np.array([dy.sum()], np.float32)]
@@ -154,7 +186,7 @@ def trained(pages: int = 1000, seed: int = 21) -> BlockLabeller:
 
 def main_texts(pages: list[str | None], labeller: BlockLabeller, features: BlockFeatures) -> list[str]:
     found = [blocks(p) for p in pages]
-    scores = labeller.scores([features.page(b) for b in found])
+    scores = labeller.scores(found, features)
     return ["\n".join([b.text for b, s in zip(bs, ss) if s >= 0.5]) for bs, ss in zip(found, scores)]
 
 

@@ -170,7 +170,7 @@ def test_html_blocks_and_labeller(spark):
     right = total = 0
     for p, main in page_maker.make_pages(80, 1234):
         found = html_blocks.blocks(p)
-        for b, s in zip(found, labeller.scores([features.page(found)])[0] if found else []):
+        for b, s in zip(found, labeller.scores([found], features)[0]):
             right, total = right + ((s >= 0.5) == (b.text in main)), total + 1
     assert right / total > 0.97
     pages = spark.createDataFrame([(1, "u", page, 3), (None, None, None, 3), (3, "u", "", 3), (3, "u", "<<<", 3)], "page_id long, url string, html string, n_chars int")
