@@ -271,8 +271,9 @@ def brute_contained(docs, items, t=0.8):
     return out
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_decontamination_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("rows", [decontaminate.BROADCAST_ROWS, 0])
+def test_decontamination_equals_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
     r = random.Random(6)
     items = [(i, prose(r, r.randint(5, 60))) for i in range(20)] + [(20, "tiny item"), (21, None), (22, "")]
     docs = []
@@ -287,10 +288,21 @@ def test_decontamination_equals_brute_force(spark, limit):
     docs += [(200, "Tiny, ITEM!"), (201, None), (202, ""), (3, docs[3][1]), (None, items[0][1]), (203, prose(r, 20000) + " " + items[1][1])]
     frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.contaminated(frame, bench, literal_hashes=limit).collect()
+    got = decontaminate.contaminated(frame, bench).collect()
     assert {(x["doc_id"], x["item_id"]) for x in got} == brute_contained(docs, items) and len(got) == len({(x["doc_id"], x["item_id"]) for x in got})
-    if limit:
-        assert decontaminate.contaminated(frame.limit(0), bench).count() == 0 and decontaminate.contaminated(frame, bench.limit(0)).count() == 0
-        clean = decontaminate.clean_documents(frame, bench)
-        dirty = {d for d, _ in brute_contained(docs, items)} - {None}
-        assert clean.columns == frame.columns and sorted(str(x["doc_id"]) for x in clean.collect()) == sorted(str(d) for d, _ in docs if d not in dirty)
+    clean = decontaminate.clean_documents(frame, bench)
+    dirty = {d for d, _ in brute_contained(list(enumerate(t for _, t in docs)), items)}
+    assert clean.columns == frame.columns and sorted(str(x["doc_id"]) for x in clean.collect()) == sorted(str(d) for i, (d, _) in enumerate(docs) if i not in dirty)
+
+
+def test_decontamination_by_rows_and_null_items(spark):
+    """Rows that share an id are judged each by its own text; so are items without an id; no table may be empty in vain."""
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, f"x {item} y", "a"), (1, "a clean text under the same id as a held one", "b"), (None, item, "c"), (None, "clean too, and no id", "d"), (2, None, "e"), (1, f"x {item} y", "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, hash string")
+    bench = spark.createDataFrame([(None, item), (None, "other words that no document holds at all"), (7, item)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["containment"] for x in decontaminate.contaminated(frame, bench).collect()}
+    assert got == {(d, i): 1.0 for d in (1, None) for i in (7, None)}
+    assert sorted(x["hash"] for x in decontaminate.clean_documents(frame, bench).collect()) == ["b", "d", "e"]
+    assert decontaminate.contaminated(frame.limit(0), bench).count() == 0 and decontaminate.contaminated(frame, bench.limit(0)).count() == 0
+    assert decontaminate.clean_documents(frame, bench.limit(0)).count() == 6 and decontaminate.clean_documents(frame.limit(0), bench).count() == 0
