@@ -6,7 +6,8 @@ offset ranges of ``fanout`` offsets, those into ranges of ``fanout`` ranges, and
 a node's hash covers its children's positions and hashes in order, so no group is larger than ``fanout``.
 
 An audit compares the roots of two replicas and descends: on each level only children of mismatching nodes are compared.
-Trees are written once (checkpointed): auditing reads nodes, not payloads.
+Every level is a table of its own, written once (checkpointed), so an audit reads no payload and no level below the last
+one that differs: equal replicas cost a row per archive file.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ def _leaf_hash() -> Column:
     return F.sha2(F.concat_ws(",", F.count("*").cast("string"), *parts), 256)
 
 
-def merkle_tree(records: DataFrame, file_col: str, offset_col: str, payload_cols: list[str], fanout: int = FANOUT, height: int | None = None) -> DataFrame:
-    """Nodes ``level``, ``file``, ``pos``, ``hash``: level 0 has a node for each offset, level ``height`` one per file.
+def merkle_tree(records: DataFrame, file_col: str, offset_col: str, payload_cols: list[str], fanout: int = FANOUT, height: int | None = None) -> list[DataFrame]:
+    """The levels of the trees, each with ``file``, ``pos``, ``hash``: the first has a node an offset, the last one a file.
 
     Null payloads differ from empty ones. A null file is a file. Offsets are not negative; null or negative ones share
     the position -1, which every level keeps. No records: no nodes. Other columns are ignored.
@@ -39,16 +40,16 @@ def merkle_tree(records: DataFrame, file_col: str, offset_col: str, payload_cols
     level = checkpointed(rows.groupBy("file", "pos").agg(_leaf_hash().alias("hash")))
     if height is None:
         height = tree_height(level.agg(F.max("pos")).first()[0], fanout)
-    nodes = level.select(F.lit(0).alias("level"), "file", "pos", "hash")
-    for up in range(1, height + 1):
+    levels = [level]
+    for _ in range(height):
         parent = F.when(F.col("pos") < 0, -1).otherwise(F.floor(F.col("pos") / fanout)).cast("long")
-        level = (
+        level = checkpointed(
             level.groupBy("file", parent.alias("parent"))
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "hash"))), lambda x: F.concat(x["pos"].cast("string"), F.lit(":"), x["hash"])), ",").alias("all"))
             .select("file", F.col("parent").alias("pos"), F.sha2("all", 256).alias("hash"))
         )
-        nodes = nodes.unionByName(level.select(F.lit(up).alias("level"), "file", "pos", "hash"))
-    return nodes
+        levels.append(level)
+    return levels
 
 
 def tree_height(largest: int | None, fanout: int = FANOUT) -> int:
@@ -59,14 +60,14 @@ def tree_height(largest: int | None, fanout: int = FANOUT) -> int:
     return height
 
 
-def audit(ours: DataFrame, theirs: DataFrame, height: int, fanout: int = FANOUT) -> DataFrame:
-    """Offsets where two trees of one ``height`` differ: ``file``, ``pos``, ``status`` (changed, missing or extra in theirs)
-    and ``range_start``, the first offset of the lowest range that holds it. Equal roots: no rows, and nothing below is read.
+def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
+    """Offsets where two trees of one height differ: ``file``, ``pos``, ``status`` (changed, missing or extra in theirs)
+    and ``range_start``, the first offset of the lowest range that holds it. Equal roots: no rows, and no level below is read.
     """
 
     def differing(level: int, within: DataFrame | None) -> DataFrame:
         a, b = (
-            t.filter(F.col("level") == level).select("file", "pos", F.col("hash").alias(name)).withColumn("parent", F.when(F.col("pos") < 0, -1).otherwise(F.floor(F.col("pos") / fanout)).cast("long"))
+            t[level].select("file", "pos", F.col("hash").alias(name)).withColumn("parent", F.when(F.col("pos") < 0, -1).otherwise(F.floor(F.col("pos") / fanout)).cast("long"))
             for t, name in ((ours, "a"), (theirs, "b"))
         )
         if within is not None:
@@ -82,7 +83,7 @@ def audit(ours: DataFrame, theirs: DataFrame, height: int, fanout: int = FANOUT)
         )
 
     found = None
-    for level in range(height, -1, -1):
+    for level in range(len(ours) - 1, -1, -1):
         found = checkpointed(differing(level, found))
         if found.isEmpty():
             break
@@ -93,5 +94,5 @@ def audit_replicas(ours: DataFrame, theirs: DataFrame, file_col: str, offset_col
     """Build both trees to one height and compare them."""
     largest = max((x for x in (t.agg(F.max(F.col(offset_col).cast("long"))).first()[0] for t in (ours, theirs)) if x is not None), default=None)
     height = tree_height(largest, fanout)
-    a, b = (checkpointed(merkle_tree(t, file_col, offset_col, payload_cols, fanout, height)) for t in (ours, theirs))
-    return audit(a, b, height, fanout)
+    a, b = (merkle_tree(t, file_col, offset_col, payload_cols, fanout, height) for t in (ours, theirs))
+    return audit(a, b, fanout)
