@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,8 +16,8 @@ MISSING_TOKENS = ("", "nan", "none", "null", "n/a", "na", "-", "--", "?")
 CSV_NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 #: Number words of ratings.
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
-#: Named character references that feedback forms leave behind; the ampersand is undone last.
-ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&rsquo;", "\u2019"), ("&lsquo;", "\u2018"), ("&rdquo;", "\u201d"), ("&ldquo;", "\u201c"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&eacute;", "\u00e9"), ("&copy;", "\u00a9"), ("&amp;", "&"))
+#: What named references stand for, by Python's table, and those to 128-159, by Windows-1252, as JSON.
+_REFERENCES = json.dumps({k: chr(v) for k, v in name2codepoint.items()} | {"apos": "'"} | {f"_{i}": bytes([i]).decode("cp1252") for i in range(128, 160) if bytes([i]).decode("cp1252", "ignore")})
 #: Date layouts in the order in which they are tried; ambiguous dates are month first.
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "M/d/yyyy", "M/d/yyyy H:mm", "d/M/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "yyyy/M/d", "d.M.yyyy", "yyyyMMdd")
 
@@ -31,16 +34,46 @@ def csv_null(c: Column) -> Column:
     return F.when(~c.isin(*CSV_NULLS), c)
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unescape(c: Column) -> Column:
-    for name, value in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(value))
+    """Character references decoded once, named and numeric: each distinct one is replaced, those that give ``&`` last."""
+
+    def value(ref: Column) -> Column:
+        code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(F.regexp_extract(ref, r"^&#[xX](\w+);$", 1), 16, 10)).otherwise(F.regexp_extract(ref, r"^&#(\d+);$", 1)).try_cast("int")
+        look = lambda key: F.call_function("get_json_object", F.lit(_REFERENCES), F.concat(F.lit("$."), key))
+        sign = lambda n: F.decode(F.unhex(F.lpad(F.hex(F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), 0xFFFD).otherwise(n)), 8, "0")), "UTF-32")
+        numeric = _with(code, lambda n: F.when(n.between(128, 159), F.coalesce(look(F.concat(F.lit("_"), n.cast("string"))), sign(n))).otherwise(sign(n)))
+        return F.when(ref.startswith("&#"), numeric).otherwise(look(F.regexp_extract(ref, r"^&(\w+);$", 1)))
+
+    def decoded(text: Column) -> Column:
+        refs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(?:#\d{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,9});"), 0))
+        pairs = F.filter(F.transform(refs, lambda r: F.struct(r.alias("r"), value(r).alias("v"))), lambda p: p["v"].isNotNull())
+        in_turn = F.array_sort(F.transform(pairs, lambda p: F.struct((p["v"] == "&").alias("last"), p["r"].alias("r"), p["v"].alias("v"))))
+        return F.aggregate(in_turn, text, lambda acc, p: F.replace(acc, p["r"], p["v"]))
+
+    return F.when(c.contains("&"), _with(c, decoded)).otherwise(c)
+
+
+def escape(c: Column) -> Column:
+    """Text that can't open a tag or an attribute."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
     return c
 
 
+def guarded(c: Column, most_chars: int) -> Column:
+    """At most so many characters, for a model's prompt."""
+    return F.when(F.length(c) > most_chars, F.substring(c, 1, most_chars)).otherwise(c)
+
+
 def clean_text(c: Column) -> Column:
     """References decoded, then tags made spaces, then white space made one space; null where nothing is left."""
     plain = trimmed(F.regexp_replace(F.regexp_replace(unescape(c), r"<[^>]+>", " "), r"(?U)\s+", " "))
-    return F.when(~is_missing(c) & ~is_missing(plain), plain)
+    return F.when(~is_missing(c), _with(plain, lambda p: F.when(~is_missing(p), p)))
 
 
 def for_matching(c: Column) -> Column:
@@ -55,6 +88,7 @@ def parse_rating(c: Column, scale_max: int) -> Column:
     named = F.lit(None).cast("double")
     for n, w in reversed(list(enumerate(NUMBER_WORDS))):
         named = F.when(word == w, float(n)).otherwise(named)
+    # a fixed pattern
     pattern = r"^(-?\d+(?:\.\d+)?)\s*(?:/(\d+)|stars?|★)?$"
     of = F.regexp_extract(t, pattern, 2)
     number = F.when(t.rlike(pattern) & ((of == "") | (of == str(scale_max))), F.regexp_extract(t, pattern, 1).try_cast("double"))
@@ -67,10 +101,24 @@ def valid_rating(parsed: Column, low: float, high: float) -> Column:
 
 def parse_number(c: Column) -> Column:
     """The first number in the text, without thousands separators."""
+    # a fixed pattern
     found = F.regexp_extract(c, r"(-?\d[\d,]*(?:\.\d+)?|-?\.\d+)", 1)
     return F.when(~is_missing(c), F.replace(found, F.lit(","), F.lit("")).try_cast("double"))
 
 
+def in_range(value: Column, valid_range: tuple[float, float] | None) -> Column:
+    """The value, or null outside the range, both ends included."""
+    return F.when(value.between(*valid_range), value) if valid_range else value
+
+
+def corrected(c: Column, aliases: dict[str, str]) -> Column:
+    """The value that an alias stands for, else the value."""
+    out = c
+    for k, v in aliases.items():
+        out = F.when(c == k, v).otherwise(out)
+    return out
+
+
 def parse_date(c: Column) -> Column:
     t = trimmed(c)
     tries = [F.try_to_timestamp(t, F.lit(f)) for f in DATE_FORMATS]

@@ -77,6 +77,16 @@ def truncation(df: DataFrame, text_col: str = "review_text") -> DataFrame:
     return df.withColumn("text_truncated", F.coalesce(near & ~F.col(text_col).rlike("[.!?…\"'”’)\\]]\\s*$"), F.lit(False)))
 
 
+def usable() -> Column:
+    """Whether a row has a text or a rating."""
+    return F.col("has_text") | F.col("rating").isNotNull()
+
+
+def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: how many values of each column are missing."""
+    return df.agg(*[F.count_if(T.is_missing(F.col(c))).alias(c) for c in columns])
+
+
 def derived(df: DataFrame, scale: Scale) -> DataFrame:
     rating = F.col("rating")
     out = df.withColumn("word_count", T.word_count(F.col("review_text"))).withColumn("sentiment_from_rating", scale.sentiment(rating)).withColumn("is_low_rating", F.coalesce(rating <= scale.negative_max, F.lit(False)))
@@ -124,16 +134,14 @@ def clean(df: DataFrame, report: CleaningReport, profile: Profile, reference_dat
         report.notes.append("No date column: trends are not available.")
     for c, aliases in (profile.raw.get("value_aliases") or {}).items():
         if c in data.columns:
-            data = data.withColumn(f"__alias_{c}", F.col(c).isin(*aliases)).replace(aliases, subset=[c])
+            data = data.withColumn(f"__alias_{c}", F.col(c).isin(*aliases)).withColumn(c, T.corrected(F.col(c), aliases))
             flags[f"{roles.label_for(c)} value corrected"] = F.coalesce(F.col(f"__alias_{c}"), F.lit(False))
     for c in roles.dimensions:
         data = canonical_labels(data.withColumn(f"__raw_{c}", F.col(c)), c)
         before = T.clean_text(raw(c))
         flags[f"{roles.label_for(c)} name variant merged"] = before.isNotNull() & (before != F.col(c))
     for n in roles.numeric:
-        value = T.parse_number(raw(n.column))
-        good = value.between(*n.valid_range) if n.valid_range else value.isNotNull()
-        data = data.withColumn(n.column, F.when(good, value))
+        data = data.withColumn(n.column, T.in_range(T.parse_number(raw(n.column)), n.valid_range))
         flags[f"Implausible {n.label.lower()} (cleared)"] = given(n.column) & F.col(n.column).isNull()
         if n.bins and n.band_column:
             data = data.withColumn(n.band_column, T.band(F.col(n.column), list(n.bins), list(n.band_labels), n.closed))
@@ -142,13 +150,12 @@ def clean(df: DataFrame, report: CleaningReport, profile: Profile, reference_dat
         flags[f"Unreadable {o.label.lower()} value (cleared)"] = given(o.column) & F.col(o.column).isNull()
     data = truncation(data).persist()
     try:
-        usable = F.col("has_text") | F.col("rating").isNotNull()
-        counts = data.agg(F.count(F.lit(1)).alias("n"), F.count_if(~usable).alias("bad"), F.count_if("text_truncated").alias("cut"), *[F.count_if(c).alias(f"f{i}") for i, c in enumerate(flags.values())]).first()
+        counts = data.agg(F.count(F.lit(1)).alias("n"), F.count_if(~usable()).alias("bad"), F.count_if("text_truncated").alias("cut"), *[F.count_if(c).alias(f"f{i}") for i, c in enumerate(flags.values())]).first()
         report.flagged = {k: counts[f"f{i}"] for i, k in enumerate(flags) if counts[f"f{i}"]}
         if counts["cut"]:
             report.flagged["Text appears cut off by the source"] = counts["cut"]
         report.removed = {"Exact duplicate row": report.rows_received - counts["n"], "No review text and no valid rating" if has_rating else "No review text": counts["bad"]}
-        kept = data.filter(usable).drop(*[c for c in data.columns if c.startswith("__raw_") or c.startswith("__alias_")])
+        kept = data.filter(usable()).drop(*[c for c in data.columns if c.startswith("__raw_") or c.startswith("__alias_")])
         keys = [*(["rating"] if has_rating else []), *([roles.entity] if roles.entity else []), *(["date"] if has_date else [])]
         unique = drop_resubmissions(kept, "analysis_text", keys)
         done = derived(ensure_ids(unique), scale)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernwell.functions.polarity import polarity
-from fernwell.functions.text import keyword_regex, sentences
+from fernwell.functions.text import guarded, keyword_regex, sentences
 from fernwell.operators.analytics import SENTIMENTS
 from fernwell.sources.profile import Calibration, Profile
 
@@ -150,7 +150,8 @@ def sample_with_weights(df: DataFrame, max_rows: int = 2000, seed: int = 0, allo
     """
     stratum = F.coalesce("sentiment_from_rating", F.lit("Unrated"))
     texts = df.filter("has_text").withColumn("__stratum", stratum)
-    sizes = {r["__stratum"]: r["n"] for r in texts.groupBy("__stratum").agg(F.count(F.lit(1)).alias("n")).collect()}  # four strata at most
+    # four strata at most
+    sizes = {r["__stratum"]: r["n"] for r in texts.groupBy("__stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = sum(sizes.values())
     if whole <= max_rows:
         return texts.drop("__stratum").withColumn("sample_weight", F.lit(1.0))
@@ -164,6 +165,20 @@ def sample_with_weights(df: DataFrame, max_rows: int = 2000, seed: int = 0, allo
     return (out if out is not None else texts.limit(0).withColumn("sample_weight", F.lit(1.0))).drop("__stratum")
 
 
+def sample_by(df: DataFrame, by: str, n: int, seed: int = 0, id_col: str = "review_id") -> DataFrame:
+    """At most ``n`` rows of each value of ``by``: those whose seeded SHA-256 of the id is smallest. Null is a value."""
+    order = F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed))), 256)
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(order, id_col))
+    return df.withColumn("__nth", nth).filter(F.col("__nth") <= n).drop("__nth")
+
+
+def strata(df: DataFrame) -> DataFrame:
+    """Population, labelled reviews and weights of each rating stratum of an analysis."""
+    stratum = F.coalesce("sentiment_from_rating", F.lit("Unrated")).alias("stratum")
+    labelled = F.col("in_label_sample")
+    return df.filter("has_text").groupBy(stratum).agg(F.count(F.lit(1)).alias("with_text"), F.count_if(labelled).alias("labelled"), F.sum(F.when(labelled, F.col("sample_weight"))).alias("weight"))
+
+
 def estimate_cost(df: DataFrame, text_col: str, input_price: float, output_price: float, batch: int = 25, prompt_tokens: int = 1200, output_tokens: int = 120) -> DataFrame:
     """Rows, batches, tokens and the upper cost of labelling every text by a hosted model; prices are per million tokens."""
     sums = df.filter(F.col(text_col).isNotNull()).agg(F.count(F.lit(1)).alias("reviews"), F.coalesce(F.sum(F.ceil(F.least(F.length(text_col), F.lit(2000)) / 4)), F.lit(0)).alias("text_tokens"))
@@ -178,16 +193,14 @@ def explode_aspects(df: DataFrame, carry: list[str]) -> DataFrame:
     return df.filter(is_labelled(F.col("label_source"))).select(*here, F.explode("aspects_ai").alias("__a")).select(*here, "__a.topic", "__a.polarity", "__a.issue")
 
 
-def label_with(df: DataFrame, client: Callable[[list[tuple[str, str]]], dict[str, dict]], profile: Profile, text_col: str = "analysis_text", batch: int = 25, most_chars: int = 2000) -> DataFrame:
-    """Labels from an injected model client, by batches of texts where the rows lie; no network is used unless the client does.
+def ask_model(texts: DataFrame, client: Callable[[list[tuple[str, str]]], dict[str, dict]], batch: int = 25) -> DataFrame:
+    """``review_id`` and ``raw`` (JSON, null where there is none) for rows of ``review_id`` and ``t``, asked where they lie.
 
-    ``client`` takes (id, text) pairs and returns raw labels by id. A failing batch is halved until single texts; what it
-    leaves out falls back to the baseline.
+    A failing batch is halved until single texts, unless the failure is fatal; texts that a reply leaves out are asked for
+    once more.
     """
     import json
 
-    schema = "review_id string, raw string"
-
     def ask(pairs: list[tuple[str, str]]) -> dict[str, dict]:
         try:
             return client(pairs)
@@ -204,16 +217,33 @@ def label_with(df: DataFrame, client: Callable[[list[tuple[str, str]]], dict[str
             pairs = [(str(i), t) for i, t in zip(f["review_id"], f["t"])]
             out: dict[str, dict] = {}
             for at in range(0, len(pairs), batch):
-                out.update(ask(pairs[at : at + batch]))
+                some = pairs[at : at + batch]
+                got = ask(some)
+                if got and (skipped := [p for p in some if p[0] not in got]):
+                    got = {**ask(skipped), **got}
+                out.update(got)
             yield pd.DataFrame({"review_id": [i for i, _ in pairs], "raw": [json.dumps(out[i]) if i in out else None for i, _ in pairs]})
 
-    raw = df.filter(F.col(text_col).isNotNull()).select(F.col("review_id").cast("string"), F.substring(text_col, 1, most_chars).alias("t")).mapInPandas(run, schema)
+    return texts.select(F.col("review_id").cast("string"), "t").mapInPandas(run, "review_id string, raw string")
+
+
+def with_raw_labels(df: DataFrame, profile: Profile, text_col: str, source: Column) -> DataFrame:
+    """Label columns from the JSON in column ``raw``, by the baseline where there is none; ``source`` names where ``raw`` is from."""
     kind = f"struct<sentiment:string,primary_topic:string,aspects:array<{ASPECT}>,confidence:string,flags:map<string,boolean>>"
-    base = baseline_labels(df, profile, text_col).join(raw.withColumn("__l", F.from_json("raw", kind)).select("review_id", "__l"), "review_id", "left")
+    out = baseline_labels(df.withColumn("__l", F.from_json("raw", kind)), profile, text_col)
     asked = F.col("__l").isNotNull()
     fields = {"sentiment_ai": "sentiment", "primary_topic_ai": "primary_topic", "aspects_ai": "aspects", "confidence_ai": "confidence"}
-    out = base.withColumns({c: F.when(asked, F.col(f"__l.{f}")).otherwise(F.col(c)) for c, f in fields.items()})
+    out = out.withColumns({c: F.when(asked, F.col(f"__l.{f}")).otherwise(F.col(c)) for c, f in fields.items()})
     out = out.withColumns({f"flag_{f}": F.when(asked, F.coalesce(F.col("__l.flags")[f], F.lit(False))).otherwise(F.col(f"flag_{f}")) for f in profile.flags})
-    out = out.withColumn("label_source", F.when(asked, "ai").when(F.col("label_source") == "baseline", "baseline_fallback").otherwise(F.col("label_source"))).drop("__l")
+    out = out.withColumn("label_source", F.when(asked, source).when(F.col("label_source") == "baseline", "baseline_fallback").otherwise(F.col("label_source"))).drop("__l", "raw")
     labelled = repair_label(out.filter(is_labelled(F.col("label_source"))), profile)
     return with_primary_issue(labelled.unionByName(out.filter(~is_labelled(F.col("label_source")))))
+
+
+def label_with(df: DataFrame, client: Callable[[list[tuple[str, str]]], dict[str, dict]], profile: Profile, text_col: str = "analysis_text", batch: int = 25, most_chars: int = 2000) -> DataFrame:
+    """Labels from an injected model client, by batches of texts where the rows lie; no network is used unless the client does.
+
+    ``client`` takes (id, text) pairs and returns raw labels by id. What it leaves out falls back to the baseline.
+    """
+    raw = ask_model(df.filter(F.col(text_col).isNotNull()).select("review_id", guarded(F.col(text_col), most_chars).alias("t")), client, batch)
+    return with_raw_labels(df.join(raw, "review_id", "left"), profile, text_col, F.lit("ai"))

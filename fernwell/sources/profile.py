@@ -59,6 +59,11 @@ class Calibration:
     complaint_penalty: float = 0.0
 
 
+def pretty(column: str) -> str:
+    """A column's name for readers."""
+    return column.replace("_", " ").capitalize()
+
+
 @dataclass(frozen=True)
 class Roles:
     entity: str | None
@@ -72,7 +77,7 @@ class Roles:
         return ((self.entity,) if self.entity else ()) + self.segments
 
     def label_for(self, column: str) -> str:
-        return self.labels.get(column) or column.replace("_", " ").capitalize()
+        return self.labels.get(column) or pretty(column)
 
 
 @dataclass(frozen=True)
@@ -148,13 +153,13 @@ def parse_profile(raw: dict[str, Any], source: str = "profile") -> Profile:
         if closed not in ("left", "right"):
             wrong.append(f"{n.get('column')}: closed must be left or right")
         span = n.get("valid_range")
-        numeric.append(Numeric(n.get("column", ""), n.get("label") or n.get("column", ""), tuple(span) if span else None, bins, names, closed, n.get("band_column")))
+        numeric.append(Numeric(n.get("column", ""), n.get("label") or pretty(n.get("column", "")), tuple(span) if span else None, bins, names, closed, n.get("band_column") or (f"{n.get('column')}_band" if bins else None)))
     for o in raw.get("outcomes") or []:
         more = lambda key, base: tuple(dict.fromkeys([*base, *(str(v).strip().lower() for v in o.get(key) or [])]))  # noqa: B023, E731
         yes, no = more("positive_values", YES), more("negative_values", NO)
         if both := set(yes) & set(no):
             wrong.append(f"{o.get('column')}: {sorted(both)} are both positive and negative")
-        outcomes.append(Outcome(o.get("column", ""), o.get("label") or o.get("column", ""), yes, no))
+        outcomes.append(Outcome(o.get("column", ""), o.get("label") or pretty(o.get("column", "")), yes, no))
     words = raw.get("baseline_keywords") or {}
     wrong += [f"keywords for unknown issue {i}" for i in words.get("issues") or {} if i not in issues]
     wrong += [f"keywords for unknown topic {t}" for t in words.get("praise") or {} if t not in taxonomy]

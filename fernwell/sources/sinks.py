@@ -42,19 +42,25 @@ def cache_key(model: str, version: str, fingerprint: str, text: str = "analysis_
     return F.sha2(F.concat_ws("|", F.lit(model), F.lit(version), F.lit(fingerprint), F.col(text)), 256)
 
 
+def path_exists(spark, path: str) -> bool:
+    """Whether Spark's file system has the path, wherever it is stored."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def read_cache(spark, path: str) -> DataFrame:
-    """Label cache lines (key, label); unreadable lines are skipped."""
-    return spark.read.schema("key string, label string, _corrupt_record string").json(path).filter("key is not null and label is not null").select("key", "label")
+    """Label cache lines (key, label, run); unreadable lines are skipped."""
+    return spark.read.schema("key string, label string, run string, _corrupt_record string").json(path).filter("key is not null and label is not null").select("key", "label", "run")
 
 
 def put_cache(rows: DataFrame, path: str) -> None:
-    rows.select("key", "label").write.mode("append").json(path)
+    rows.write.mode("append").json(path)
 
 
 def labelling_sample(df: DataFrame, path: str, n: int, seed: int, flags: tuple[str, ...] = (), force: bool = False) -> DataFrame:
     """A blind sample to label by hand; a folder that already holds labels is not overwritten."""
     spark = df.sparkSession
-    if not force and os.path.exists(path):
+    if not force and path_exists(spark, path):
         found = spark.read.csv(path, header=True)
         if "true_sentiment" in found.columns and not found.filter("coalesce(true_sentiment, '') <> ''").isEmpty():
             raise FileExistsError(f"{path} holds labels")

@@ -10,6 +10,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from fernwell.plans import rule_queries, rule_sql  # noqa: F401 - they add to both
 from fernwell.plans.feedback_queries import QUERIES
 from fernwell.plans.feedback_sql import ORACLE_SQL
 
