@@ -3,14 +3,15 @@
 Rows are dealt by hash into shards of bounded text. A shard's postings are sorted by term and local row number and cut
 into blocks of ``BLOCK`` rows; every (term, block) keeps the largest score a posting in it can add. For a query:
 
-1. The sums of these maxima bound each block. The blocks of highest bound are scored first, which gives a threshold, the
-   k-th best score so far. Blocks whose bound is below it are out.
+1. The rows that the heaviest terms' postings put first are scored, which gives a threshold, the k-th best score so far;
+   heavy terms are rare ones, so this reads few. The sums of the maxima bound each block: those below it are out.
 2. WAND's pivot: terms in rising order of their maxima, as long as the maxima add up to less than the threshold, can't
-   lift a row over it alone. Only postings of the other terms are read; a row's partial score from them plus the block
-   maxima of the terms left out bounds the row.
+   lift a row over it alone. Of the other terms only the postings in open blocks are read; a row's partial score from them
+   plus the block maxima of the terms left out bounds the row.
 3. Rows are scored in falling order of bound until the bound falls below the threshold, which rises meanwhile.
 
-Blocks lie alike for all terms, so that each step is a few vector operations. Scores use the global row count, document
+Rows of a shard are ordered by their most frequent terms, so that rows of one language and manner share blocks and a query
+of another leaves them closed. Blocks lie alike for all terms, so that each step is a few vector operations. Scores use the global row count, document
 frequencies and average length, and each row's terms are added in one order, so each shard's top k are exact, ties
 included, and so is their merge.
 
@@ -32,9 +33,10 @@ from fernwell.llm.common import checkpointed
 K1, B = 1.2, 0.75
 BLOCK = 64
 SHARD_CHARS = 40_000_000
-FIRST_BLOCKS, FIRST_ROWS, SLACK = 1, 16, 1 + 1e-9
+#: Postings, per row of the shard, and rows that are scored first.
+FIRST_SHARE, FIRST_ROWS, SLACK = 0.5, 16, 1 + 1e-9
 #: The terms left out at first add up to this share of the threshold at most: reading more postings makes closer bounds.
-WEAK_SHARE = 0.15
+WEAK_SHARE = 0.5
 _WORD = re.compile(r"\w+")
 _KEPT_WORDS = 300_000
 
@@ -79,9 +81,33 @@ def postings(docs: DataFrame, shards: int, id_col: str, text_col: str) -> DataFr
     return docs.select(shard.alias("shard"), F.col(id_col).alias("doc"), text.alias("t")).mapInArrow(run, f"shard int, doc {kind}, len long, terms binary, tfs binary")
 
 
+def by_top_term(terms: list[bytes], tfs: list[bytes]) -> np.ndarray:
+    """An order of rows in which rows of the same most frequent term, the one in most rows if several, stand together."""
+    sizes = np.array([len(t) // 8 for t in terms], np.int64)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return np.arange(len(terms))
+    _, place, df = np.unique(np.frombuffer(b"".join(terms), np.int64), return_inverse=True, return_counts=True)
+    rank = np.empty(len(df), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+    weight = (np.frombuffer(b"".join(tfs), np.int32).astype(np.int64) << 32) | rank[place]
+    starts = (np.cumsum(sizes) - sizes)[some]
+    keys = []
+    for _ in range(2):  # the first term, then the second
+        top = np.maximum.reduceat(weight, starts)
+        key = np.zeros(len(terms), np.int64)
+        key[some] = top & 0xFFFFFFFF
+        keys.append(key)
+        weight = np.where(weight == np.repeat(top, sizes[some]), 0, weight)
+    return np.lexsort((keys[1], keys[0]))
+
+
 class ShardIndex:
     def __init__(self, docs: list, lengths: list[int], terms: list[bytes], tfs: list[bytes], average: float) -> None:
+        order = by_top_term(terms, tfs).tolist()
+        docs, lengths, terms, tfs = ([x[i] for i in order] for x in (docs, lengths, terms, tfs))
         self.docs = docs
+        self.postings = self.read = 0
         sizes = np.array([len(t) // 8 for t in terms], np.int64)
         # by row: each row's terms in rising order, and what each adds before its weight
         self.row_start = np.r_[0, np.cumsum(sizes)]
@@ -103,6 +129,7 @@ class ShardIndex:
         new[self.start[:-1]] = True
         first = np.flatnonzero(new)
         self.block = block[first]
+        self.first = np.r_[first, len(block)]
         self.most = np.maximum.reduceat(self.part, first) if len(first) else np.zeros(0)
         self.entry = np.searchsorted(first, self.start)
         self.term_most = np.maximum.reduceat(self.part, self.start[:-1]) if len(first) else np.zeros(0)
@@ -145,23 +172,32 @@ class ShardIndex:
             best = sorted([*best, *((float(scores[i]), self.docs[rows[i]]) for i in keep)], key=lambda x: (-x[0], x[1] is None, x[1]))[:k]
             return best[k - 1][0] if len(best) == k else 0.0
 
-        first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
-        rows = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        least = take(rows[rows < len(self.docs)])
+        heavy = np.argsort(-weights * self.term_most[at], kind="stable")
+        sizes = self.start[at + 1] - self.start[at]
+        heavy = heavy[: max(1, int(np.searchsorted(np.cumsum(sizes[heavy]), FIRST_SHARE * len(self.docs))))]
+        places, w = _ranges(self.start[at[heavy]], self.start[at[heavy] + 1], weights[heavy])
+        hint = np.bincount(self.row[places], w * self.part[places], minlength=len(self.docs))
+        seen = np.argpartition(-hint, min(2 * k, len(hint) - 1))[: 2 * k]
+        self.postings += int(sizes.sum())
+        self.read += len(places)
+        least = take(seen)
         open_blocks = bound * SLACK >= least
-        open_blocks[first] = False
         if not open_blocks.any():
             return best
         rising = np.argsort(weights * self.term_most[at], kind="stable")
         weak = np.zeros(len(at), bool)
         weak[rising] = np.cumsum((weights * self.term_most[at])[rising]) * SLACK < WEAK_SHARE * least
         strong = ~weak
-        places, w = _ranges(self.start[at[strong]], self.start[at[strong] + 1], weights[strong])
+        open_entries = strong[of] & open_blocks[block]
+        places, w = _ranges(self.first[entries[open_entries]], self.first[entries[open_entries] + 1], weights[of[open_entries]])
+        self.read += len(places)
         partial = np.bincount(self.row[places], w * self.part[places], minlength=len(self.docs))
         rest = np.bincount(block[weak[of]], most[weak[of]], minlength=self.blocks)
         of_block = np.arange(len(self.docs)) // BLOCK
         limit = (partial + rest[of_block]) * SLACK
-        rows = np.flatnonzero((partial > 0) & open_blocks[of_block] & (limit >= least))
+        fresh = np.ones(len(self.docs), bool)
+        fresh[seen] = False
+        rows = np.flatnonzero((partial > 0) & fresh & open_blocks[of_block] & (limit >= least))
         rows = rows[np.argsort(-limit[rows], kind="stable")]
         done, step = 0, FIRST_ROWS
         while done < len(rows) and limit[rows[done]] >= least:
