@@ -14,7 +14,11 @@ from fernwell.llm.common import shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the factorisation machine rejects; it learns from labels of rows of ``docs`` outside fold 0."""
+    """Drops the documents that the factorisation machine rejects; it learns from labels of rows of ``docs`` outside fold 0.
+
+    Every row is scored by its own text, whatever its id. Null texts count as empty and are scored like any other; without
+    labels of both kinds all rows get the share of good labels. No rows: no rows. Other columns come along.
+    """
     from fernwell.llm.quality_fm import fit, keep_good
 
     return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -32,14 +36,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold four fifths or more of a benchmark item's shingles."""
+    """Drops the documents that hold four fifths or more of a benchmark item's shingles.
+
+    Rows are judged each by its own text, with whatever id. Null and empty texts stay, as do all rows if there are no items.
+    No rows: no rows. Other columns come along.
+    """
     from fernwell.llm.decontaminate import clean_documents
 
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the encoded and decoded texts of what is left."""
+    """Token counts and digests of the encoded and decoded texts of what is left.
+
+    A row for each row: null ids and repeated rows are kept, null texts count as empty. No rows: no rows.
+    """
     from fernwell.llm.bpe_chunks import encode_documents
     from fernwell.llm.queries import tokenizer_file
 
@@ -48,7 +59,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("encoding", encoding)]
 
-#: Training, anchors and the tokenizer are beyond SQL; tests hold ``run`` against a brute-force version.
+#: Training, fingerprints and the tokenizer are beyond SQL; tests hold ``run`` against a brute-force version.
 ORACLE_SQL = None
 
 
