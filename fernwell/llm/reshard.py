@@ -1,11 +1,14 @@
 """Resharding by minimum-cost flow.
 
-Old shards hold bytes; new shards have capacities. A transport network joins them: an arc from old shard i to new shard
-i is free, every other arc costs one per byte. The flow of least cost says how many bytes go from where to where, and no
-plan moves fewer. Rows follow the flow: each old shard is laid out in blocks by a hash, and the running byte offset of a
-row says into which transfer it falls; block sums give the offsets, so no shard is ever sorted as a whole.
-
-What reaches the driver: one row per old shard and block, ``old shards x blocks`` at most, whatever the input holds.
+Old shards hold bytes; new shards have capacities. A transport network joins them: what stays in its shard is free, what
+moves passes a hub at a cost of one per byte, so the network has an arc or two a shard and not one a pair of shards. The
+flow of least cost says how many bytes leave and enter each shard, and no plan moves fewer; what passes the hub is paired
+off in order, in fewer transfers than there are shards. Rows follow the flow: each old shard is laid out in blocks by a
+hash, and the running byte offset of a row says into which transfer it falls; block sums give the offsets, so no shard is
+ever sorted as a whole.
+
+What reaches the driver: one row per old shard and block, and one per block and transfer. Blocks grow in number with the
+bytes, ``BLOCK_BYTES`` each, so that a block is one task's sort whatever the input holds.
 """
 
 from __future__ import annotations
@@ -17,34 +20,21 @@ from pyspark.sql import functions as F
 
 from fernwell.llm.common import checkpointed
 
-BLOCKS = 128
+#: Blocks of each old shard at least, and bytes of text a block.
+BLOCKS, BLOCK_BYTES = 128, 1 << 30
 
 
-def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
-    """Flows of least cost from sources to sinks by successive shortest paths; the sums must be equal."""
-    if sum(supply) != sum(demand):
-        raise ValueError("supply and demand differ")
-    n, m = len(supply), len(demand)
-    s, t = n + m, n + m + 1
-    heads: list[list[int]] = [[] for _ in range(n + m + 2)]
+def min_cost_flow(nodes: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
+    """The flow on each arc (from, to, capacity, cost) of a maximum flow of least cost, by successive shortest paths."""
+    heads: list[list[int]] = [[] for _ in range(nodes)]
     to, room, price = [], [], []
-
-    def arc(a: int, b: int, capacity: int, c: int) -> None:
-        for x, y, r, p in ((a, b, capacity, c), (b, a, 0, -c)):
+    for a, b, capacity, cost in arcs:
+        for x, y, r, p in ((a, b, capacity, cost), (b, a, 0, -cost)):
             heads[x].append(len(to))
             to.append(y), room.append(r), price.append(p)
-
-    for i in range(n):
-        arc(s, i, supply[i], 0)
-    first = len(to)
-    for i in range(n):
-        for j in range(m):
-            arc(i, n + j, min(supply[i], demand[j]), cost[i][j])
-    for j in range(m):
-        arc(n + j, t, demand[j], 0)
     while True:
-        best, via, queue, queued = [float("inf")] * len(heads), [-1] * len(heads), deque([s]), [False] * len(heads)
-        best[s] = 0
+        best, via, queue, queued = [float("inf")] * nodes, [-1] * nodes, deque([source]), [False] * nodes
+        best[source] = 0
         while queue:
             x = queue.popleft()
             queued[x] = False
@@ -54,73 +44,87 @@ def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -
                     if not queued[to[a]]:
                         queue.append(to[a])
                         queued[to[a]] = True
-        if via[t] < 0:
-            break
-        path, x = [], t
-        while x != s:
+        if via[sink] < 0:
+            return [room[2 * i + 1] for i in range(len(arcs))]
+        path, x = [], sink
+        while x != source:
             path.append(via[x])
             x = to[via[x] ^ 1]
         most = min(room[a] for a in path)
         for a in path:
             room[a] -= most
             room[a ^ 1] += most
-    return [[room[first + 2 * (i * m + j) + 1] for j in range(m)] for i in range(n)]
 
 
-def plan_transfers(old_sizes: list[int], capacities: list[int]) -> list[list[int]]:
-    """Bytes from each old to each new shard that move the fewest bytes."""
-    return min_cost_flow(old_sizes, capacities, [[0 if i == j else 1 for j in range(len(capacities))] for i in range(len(old_sizes))])
+def plan_transfers(old_sizes: list[int], capacities: list[int]) -> list[tuple[int, int, int]]:
+    """(old shard, new shard, bytes) of a plan that moves the fewest bytes; what stays comes first of its old shard."""
+    if sum(old_sizes) != sum(capacities):
+        raise ValueError("sizes and capacities differ")
+    n, m = len(old_sizes), len(capacities)
+    hub, source, sink = n + m, n + m + 1, n + m + 2
+    stay = [(i, n + i, min(old_sizes[i], capacities[i]), 0) for i in range(min(n, m))]
+    leave, enter = [(i, hub, old_sizes[i], 1) for i in range(n)], [(hub, n + j, capacities[j], 0) for j in range(m)]
+    ends = [(source, i, old_sizes[i], 0) for i in range(n)] + [(n + j, sink, capacities[j], 0) for j in range(m)]
+    flow = min_cost_flow(n + m + 3, [*stay, *leave, *enter, *ends], source, sink)
+    kept, out, into = flow[: len(stay)], flow[len(stay) : len(stay) + n], flow[len(stay) + n : len(stay) + n + m]
+    moves: list[tuple[int, int, int]] = []
+    j = 0
+    for i in range(n):
+        while out[i]:
+            while not into[j]:
+                j += 1
+            moved = min(out[i], into[j])
+            moves.append((i, j, moved))
+            out[i] -= moved
+            into[j] -= moved
+    return sorted([*((i, i, b) for i, b in enumerate(kept) if b), *moves], key=lambda x: (x[0], x[0] != x[1]))
 
 
 def equal_capacities(total: int, shards: int) -> list[int]:
     return [total * (i + 1) // shards - total * i // shards for i in range(shards)]
 
 
-def reshard(sized: DataFrame, old_shards: int, new_shards: int, capacities: list[int] | None = None, blocks: int = BLOCKS) -> DataFrame:
-    """``sized`` (key, size, old and any other narrow columns) with ``shard`` and ``slot``.
+def reshard(sized: DataFrame, old_shards: int, new_shards: int, capacities: list[int] | None = None, blocks: int | None = None) -> DataFrame:
+    """``sized`` (``key``, ``size``, ``salt``, ``old`` and any other narrow columns) with ``shard`` and ``slot``.
 
     ``old`` is in [0, old_shards). A row goes where the middle of its bytes falls, so each new shard's size differs from
     its capacity by at most half a row for each transfer that begins or ends in it. Slots count from 0 without gaps in
-    each shard. Rows alike in key and size may swap places. Null keys are keys. No rows: no rows.
+    each shard. Rows alike in key and size may swap places. Null keys are keys. No rows: no rows. Other columns come along;
+    columns ``shard`` and ``slot`` are replaced.
     """
-    dealt = checkpointed(sized.withColumn("block", F.pmod(F.xxhash64("key", "size", "salt"), F.lit(blocks)).cast("int")))
-    order = Window.partitionBy("old", "block").orderBy(F.xxhash64("key", F.lit(7)), "key", "size", "salt")
-    sums = dealt.groupBy("old", "block").agg(F.sum("size").alias("bytes")).orderBy("old", "block").collect()  # old_shards x blocks rows at most
-    old_sizes, starts = [0] * old_shards, {}
+    columns = [c for c in sized.columns if c not in ("shard", "slot")]
+    if blocks is None:
+        whole = sized.agg(F.sum("size")).first()[0] or 0
+        blocks = max(BLOCKS, int(whole // (old_shards * BLOCK_BYTES)) + 1)
+    block = F.pmod(F.xxhash64("key", "size", "salt"), F.lit(blocks)).cast("int")
+    dealt = checkpointed(sized.select(*columns).withColumn("__block", block))
+    by_hash = [F.xxhash64("key", F.lit(7)), "key", "size", "salt"]
+    sums = dealt.groupBy("old", "__block").agg(F.sum("size").alias("bytes")).orderBy("old", "__block").collect()  # a row for each block
+    old_sizes, starts = [0] * old_shards, []
     for r in sums:
-        starts[r["old"], r["block"]] = old_sizes[r["old"]]
+        starts.append((r["old"], r["__block"], old_sizes[r["old"]]))
         old_sizes[r["old"]] += r["bytes"]
-    flows = plan_transfers(old_sizes, capacities or equal_capacities(sum(old_sizes), new_shards))
-    cuts = []
-    for i, row in enumerate(flows):
-        at, here = 0, []
-        for j in [i, *(j for j in range(new_shards) if j != i)] if i < new_shards else range(new_shards):  # what stays comes first
-            if row[j]:
-                here.append((at, at + row[j], j))
-                at += row[j]
-        cuts.append(here or [(0, 1 << 62, i % new_shards)])
+    cuts, at = [], [0] * old_shards
+    for i, j, moved in plan_transfers(old_sizes, capacities or equal_capacities(sum(old_sizes), new_shards)):
+        cuts.append([i, at[i], at[i] + moved, j])
+        at[i] += moved
+    cuts = [[i, lo, hi if hi < old_sizes[i] else 1 << 62, j] for i, lo, hi, j in cuts]  # nothing falls behind the last transfer
+    cuts += [[i, 0, 1 << 62, i % new_shards] for i in range(old_shards) if not old_sizes[i]]  # rows of no size
     spark = sized.sparkSession
-    offsets = spark.createDataFrame([(o, b, v) for (o, b), v in starts.items()], "old int, block int, base long")
-    where = F.lit(None).cast("int")
-    middle = F.col("base") + F.col("within") - F.col("size") / 2
-    for i, here in enumerate(cuts):
-        choice = F.lit(here[-1][2])
-        for _, end, j in reversed(here[:-1]):
-            choice = F.when(middle < end, j).otherwise(choice)
-        where = F.when(F.col("old") == i, choice).otherwise(where)
-    placed = (
-        dealt.withColumn("within", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(F.broadcast(offsets), ["old", "block"])  # old_shards x blocks rows at most
-        .withColumn("shard", where)
-    )
-    placed = checkpointed(placed.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "old", "block").orderBy(F.xxhash64("key", F.lit(7)), "key", "size", "salt"))))
-    counts = placed.groupBy("shard", "old", "block").agg(F.count("*").alias("n")).orderBy("shard", "old", "block").collect()  # blocks and cuts
+    offsets = F.broadcast(spark.createDataFrame(starts, "old int, __block int, __base long"))  # a row for each block
+    transfers = F.broadcast(spark.createDataFrame(cuts, "old int, __from long, __to long, shard int"))  # fewer rows than shards, old and new
+    middle = F.col("__base") + F.col("__within") - F.col("size") / 2
+    running = F.sum("size").over(Window.partitionBy("old", "__block").orderBy(*by_hash).rowsBetween(Window.unboundedPreceding, 0))
+    placed = dealt.withColumn("__within", running).join(offsets, ["old", "__block"]).join(transfers, "old").filter((middle >= F.col("__from")) & (middle < F.col("__to")))
+    nth = F.row_number().over(Window.partitionBy("shard", "old", "__block").orderBy(*by_hash))
+    placed = checkpointed(placed.withColumn("__nth", nth))
+    counts = placed.groupBy("shard", "old", "__block").agg(F.count("*").alias("n")).orderBy("shard", "old", "__block").collect()  # blocks and transfers
     seen, slots = [0] * new_shards, []
     for r in counts:
-        slots.append((r["shard"], r["old"], r["block"], seen[r["shard"]]))
+        slots.append((r["shard"], r["old"], r["__block"], seen[r["shard"]]))
         seen[r["shard"]] += r["n"]
-    bases = spark.createDataFrame(slots, "shard int, old int, block int, slot_base long")
-    return placed.join(F.broadcast(bases), ["shard", "old", "block"]).withColumn("slot", F.col("slot_base") + F.col("nth") - 1).drop("nth", "slot_base", "base", "within", "block")
+    bases = F.broadcast(spark.createDataFrame(slots, "shard int, old int, __block int, __slot long"))  # as many
+    return placed.join(bases, ["shard", "old", "__block"]).select(*columns, "shard", (F.col("__slot") + F.col("__nth") - 1).alias("slot"))
 
 
 def lay_out(rows: DataFrame, path: str) -> None:

@@ -205,14 +205,16 @@ def test_reshard_moves_the_least_and_balances(spark):
     for _ in range(20):
         old = [r.randrange(0, 90) for _ in range(r.randint(1, 6))]
         new = reshard.equal_capacities(sum(old), r.randint(1, 6))
-        flow = reshard.plan_transfers(old, new)
+        moves = reshard.plan_transfers(old, new)
+        flow = [[sum(b for x, y, b in moves if (x, y) == (i, j)) for j in range(len(new))] for i in range(len(old))]
+        assert len(moves) < 2 * (len(old) + len(new)) and all(b > 0 for _, _, b in moves)
         assert [sum(f) for f in flow] == old and [sum(c) for c in zip(*flow)] == new
         stay = sum(flow[i][i] for i in range(min(len(old), len(new))))
         assert stay == sum(min(a, b) for a, b in zip(old, new))
-    rows = [(None if i % 50 == 0 else i, r.randint(1, 400), 0 if i < 700 else i % 5, i) for i in range(1000)] + [(3, 100, 2, 9)] * 30
-    sized = spark.createDataFrame(rows, "key long, size long, old int, salt long")
+    rows = [(None if i % 50 == 0 else i, r.randint(1, 400), 0 if i < 700 else i % 5, i, "mine") for i in range(1000)] + [(3, 100, 2, 9, "mine")] * 30
+    sized = spark.createDataFrame(rows, "key long, size long, old int, salt long, block string")
     got = reshard.reshard(sized, 5, 8, blocks=16).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and {x["block"] for x in got} == {"mine"}
     sizes, slots = [0] * 8, [[] for _ in range(8)]
     for x in got:
         sizes[x["shard"]] += x["size"]
