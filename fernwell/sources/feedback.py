@@ -6,6 +6,7 @@ import csv
 import io
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,22 +71,56 @@ def _headers(line: list[str]) -> list[str]:
     return out
 
 
-def load_csv(spark: SparkSession, source: str | bytes | io.IOBase | DataFrame, max_rows: int | None = None) -> DataFrame:
-    """A string DataFrame with an order column. Paths are read by Spark in parallel; bytes and files must fit the driver."""
+HEAD_BYTES = 65536
+#: Where Windows-1252 differs from Latin-1: the latter's control characters, and what the former has in their places.
+_CONTROLS = "".join(chr(i) for i in range(128, 160) if bytes([i]).decode("cp1252", "ignore"))
+_WINDOWS = _CONTROLS.encode("latin-1").decode("cp1252")
+
+
+def read_head(spark: SparkSession, path: str, most: int = HEAD_BYTES) -> bytes:
+    """The first bytes of a file, or of the first file of a folder that has any, by Spark's file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in sorted(fs.globStatus(p) or [], key=lambda x: x.getPath().toString()):
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        for f in sorted(inside, key=lambda x: x.getPath().toString()):
+            if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", ".")):
+                stream = fs.open(f.getPath())
+                try:
+                    return bytes(stream.readNBytes(most))
+                finally:
+                    stream.close()
+    return b""
+
+
+def _read_path(spark: SparkSession, path: str, encoding: str, names: list[str], multi_line: bool) -> DataFrame:
+    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    one_byte = encoding != "UTF-8"
+    df = spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, quote='"', escape='"', ignoreLeadingWhiteSpace=True, encoding="ISO-8859-1" if one_byte else encoding, enforceSchema=True)
+    if encoding == "windows-1252":  # the reader knows no such code page
+        df = df.select([F.translate(c, _CONTROLS, _WINDOWS).alias(c) for c in df.columns])
+    return df
+
+
+def load_csv(spark: SparkSession, source: str | bytes | io.IOBase | DataFrame, max_rows: int | None = None, multi_line: bool = True) -> DataFrame:
+    """A string DataFrame with an order column. Paths are read by Spark in parallel; bytes and files must fit the driver.
+
+    A path's encoding is taken from its head; where that is UTF-8 but a later byte is not, the file is read as Windows-1252,
+    as it is if given as bytes. ``multi_line=False`` lets Spark split files, where no quoted value holds a line feed.
+    """
     if isinstance(source, DataFrame):
         df = source.select([F.col(f"`{c}`").cast("string").alias(c) for c in source.columns])
         return _guard(df, max_rows).withColumn(ORDER, F.monotonically_increasing_id())
     if isinstance(source, str):
-        head = spark.read.format("binaryFile").load(source).select(F.substring("content", 1, 65536).alias("h")).first()
-        if head is None or not bytes(head["h"]).strip():
+        head = read_head(spark, source)
+        if not head.strip():
             raise DataValidationError("The file is empty.")
-        encoding = sniff_encoding(bytes(head["h"]))
-        if encoding == "windows-1252":
-            encoding = "ISO-8859-1"  # the reader knows no other one-byte code page; they differ in 27 rare characters
-        line = next(csv.reader(io.StringIO(bytes(head["h"]).decode("utf-8-sig" if encoding == "UTF-8" else "latin-1", "replace")), skipinitialspace=True), [])
+        encoding = sniff_encoding(head)
+        line = next(csv.reader(io.StringIO(head.decode({"UTF-8": "utf-8-sig", "windows-1252": "cp1252"}.get(encoding, "latin-1"), "replace")), skipinitialspace=True), [])
         names = _headers(line)
-        schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
-        df = spark.read.csv(source, schema=schema, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, encoding=encoding, enforceSchema=True)
+        df = _read_path(spark, source, encoding, names, multi_line)
+        if encoding == "UTF-8" and not df.filter(reduce(lambda x, y: x | y, [F.coalesce(F.contains(F.col(c), F.lit("\ufffd")), F.lit(False)) for c in df.columns])).isEmpty():
+            df = _read_path(spark, source, "windows-1252", names, multi_line)
         df = df.toDF(*names)
     else:
         data = source if isinstance(source, bytes) else source.read()

@@ -189,3 +189,15 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(reviews) from live").first()[0] == 20
+
+
+def test_encodings_by_path(spark, tmp_path):
+    from fernwell.sources.feedback import load_csv
+
+    head = "review_text,rating\r\n" + "plain,5\r\n" * 9000  # more than the head that is sniffed
+    (tmp_path / "a.csv").write_bytes(("review_text,rating\r\n“curly” – 5 €,5\r\n").encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes(head.encode() + "late é €,4\r\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes(("\ufeff" + head).encode() + "übrig €,4\r\n".encode())
+    texts = {n: {r["review_text"] for r in load_csv(spark, str(tmp_path / n)).select("review_text").distinct().collect()} for n in ("a.csv", "b.csv", "c.csv")}
+    assert texts == {"a.csv": {"“curly” – 5 €"}, "b.csv": {"plain", "late é €"}, "c.csv": {"plain", "übrig €"}}
+    assert load_csv(spark, str(tmp_path / "c.csv"), multi_line=False).count() == 9001
