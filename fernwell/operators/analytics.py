@@ -226,8 +226,7 @@ def band_summary(df: DataFrame, col: str, bins: list[float] | None = None, label
     """Metrics of every band, empty ones too; without ``bins`` the bands are quantiles with interpolated edges."""
     rated = df.filter(F.col("rating").isNotNull() & F.col(col).isNotNull())
     if bins is None:
-        edges = rated.agg(F.percentile(F.col(col).cast("double"), F.array(*[F.lit(i / quantiles) for i in range(quantiles + 1)])).alias("e")).first()["e"]  # quantiles + 1 numbers
-        bins = sorted(set(edges or []))
+        bins = sorted(set(quantiles_of(rated, col, [i / quantiles for i in range(quantiles + 1)])))
         labels = [f"{a:,.0f}–{b:,.0f}" for a, b in zip(bins, bins[1:])]
         if len(set(labels)) < len(labels):
             labels = [f"({a:g}, {b:g}]" for a, b in zip(bins, bins[1:])]
@@ -240,25 +239,51 @@ def band_summary(df: DataFrame, col: str, bins: list[float] | None = None, label
     return _spine(df, labels, "band", "string").join(found, "band", "left").orderBy("__nth").select("band", k.alias("reviews"), half_even(F.col("a"), 2).alias("avg_rating"), percent(F.col("l"), F.col("k")).alias("pct_low_rating"), (k >= MIN_GROUP).alias("reliable"))
 
 
-def average_ranks(df: DataFrame, col: str, pieces: int = 64) -> DataFrame:
-    """Each distinct value with its average rank. Values are dealt over range pieces, whose sums give each piece its start,
-    so that no task orders all of them."""
-    counts = df.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+def cumulative(counts: DataFrame, pieces: int = 64) -> DataFrame:
+    """``v``, ``k`` and ``upto``, the rows up to and with each value, of distinct values and their counts.
+
+    Values are dealt over range pieces, whose sums give each piece its start, so that no task orders all of them.
+    """
     edges = counts.agg(F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 1000).alias("e")).first()["e"] or []  # pieces numbers
     piece = reduce(lambda a, e: a + F.when(F.col("v") > e, 1).otherwise(0), sorted(set(edges)), F.lit(0))
     counts = counts.withColumn("piece", piece)
     starts = counts.groupBy("piece").agg(F.sum("k").alias("s")).withColumn("start", F.coalesce(F.sum("s").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    upto = F.sum("k").over(Window.partitionBy("piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("upto", upto).join(F.broadcast(starts.select("piece", "start")), "piece").select("v", (F.col("start") + F.col("upto") - F.col("k") + (F.col("k") + 1) / 2).alias("rank"))  # pieces rows
+    inside = F.sum("k").over(Window.partitionBy("piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("inside", inside).join(F.broadcast(starts.select("piece", "start")), "piece").select("v", "k", (F.col("start") + F.col("inside")).alias("upto"))  # pieces rows
+
+
+def quantiles_of(df: DataFrame, col: str, shares: list[float]) -> list[float]:
+    """Exact quantiles, interpolated between neighbours; no rows: none."""
+    upto = cumulative(df.groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k")))
+    n = df.count()
+    if not n:
+        return []
+    at = [share * (n - 1) for share in shares]
+    places = sorted({int(x) for x in at} | {min(int(x) + 1, n - 1) for x in at})
+    found = upto.agg(*[F.min(F.when(F.col("upto") > i, F.col("v"))).alias(f"p{i}") for i in places]).first()  # two numbers a share
+    value = {i: found[f"p{i}"] for i in places}
+    return [value[int(x)] + (value[min(int(x) + 1, n - 1)] - value[int(x)]) * (x - int(x)) for x in at]
+
+
+def average_ranks(counts: DataFrame) -> DataFrame:
+    """Each value of ``counts`` (``v``, ``k``) with its average rank."""
+    return cumulative(counts).select("v", (F.col("upto") - F.col("k") + (F.col("k") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, col: str, target: str = "rating") -> DataFrame:
-    """One row: n, rho (3 decimals) and strength; null below 15 rows or two distinct values."""
-    rows = df.filter(F.col(col).isNotNull() & F.col(target).isNotNull()).select(F.col(col).cast("double").alias("x"), F.col(target).cast("double").alias("y"))
-    ranked = rows.join(average_ranks(rows, "x").select(F.col("v").alias("x"), F.col("rank").alias("rx")), "x").join(average_ranks(rows, "y").select(F.col("v").alias("y"), F.col("rank").alias("ry")), "y")
-    sums = ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("r"), F.min("rx").alias("a"), F.max("rx").alias("b"), F.min("ry").alias("c"), F.max("ry").alias("d"))
-    enough = (F.col("n") >= MIN_GROUP) & (F.col("a") < F.col("b")) & (F.col("c") < F.col("d"))
-    return sums.select("n", F.when(enough, half_even(F.col("r"), 3)).alias("rho")).withColumn("strength", strength(F.col("rho")))
+    """One row: n, rho (3 decimals) and strength; null below 15 rows or two distinct values.
+
+    Rows are counted by pair of values first; ranks and their correlation come from the counts.
+    """
+    rows = df.filter(F.col(col).isNotNull() & F.col(target).isNotNull())
+    pairs = rows.groupBy(F.col(col).cast("double").alias("x"), F.col(target).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("k"))
+    of = lambda c, name: average_ranks(pairs.groupBy(F.col(c).alias("v")).agg(F.sum("k").alias("k"))).select(F.col("v").alias(c), F.col("rank").alias(name))
+    ranked = pairs.join(of("x", "rx"), "x").join(of("y", "ry"), "y")
+    middle = pairs.agg(((F.sum("k") + 1) / 2).alias("mid"))  # ranks are taken from their mean, which keeps the sums small
+    a, b, k = F.col("rx") - F.col("mid"), F.col("ry") - F.col("mid"), F.col("k")
+    sums = ranked.crossJoin(F.broadcast(middle)).agg(F.coalesce(F.sum(k), F.lit(0)).alias("n"), F.sum(k * a * b).alias("ab"), F.sum(k * a * a).alias("aa"), F.sum(k * b * b).alias("bb"))  # one row
+    enough = (F.col("n") >= MIN_GROUP) & (F.col("aa") > 0) & (F.col("bb") > 0)
+    return sums.select("n", F.when(enough, half_even(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")), 3)).alias("rho")).withColumn("strength", strength(F.col("rho")))
 
 
 def benjamini_hochberg(df: DataFrame, p_col: str, q_col: str = "q_value") -> DataFrame:
@@ -286,12 +311,15 @@ def low_rating_drivers(df: DataFrame, dimensions: tuple[str, ...], scale: Scale
     return found.select("dimension", "group", "reviews", "pct_low_rating", "lift", "p_value", "q_value", (c("q_value") < SIGNIFICANCE).alias("significant")).orderBy(F.desc("lift"), "dimension", "group")
 
 
-def priority_table(df: DataFrame, group_col: str, sentiment_col: str, weight_col: str | None = None, total_weight: float | None = None, scale: Scale = Scale(), min_group: int = MIN_GROUP) -> DataFrame:
-    """Groups by frequency times severity, on an index whose top eligible group has 100."""
+def priority_table(df: DataFrame, group_col: str, sentiment_col: str, weight_col: str | None = None, total_weight: DataFrame | None = None, scale: Scale = Scale(), min_group: int = MIN_GROUP) -> DataFrame:
+    """Groups by frequency times severity, on an index whose top eligible group has 100.
+
+    ``total_weight``: one row with ``total``, where the weight of all rows of ``df`` is not it.
+    """
     groups = df.filter(F.col(group_col).isNotNull()).groupBy(F.col(group_col).alias("group")).agg(*parts(df, sentiment_col, weight_col, scale))
-    whole = df.agg(F.sum(weights(df, weight_col)).alias("total"))  # one row
+    whole = df.agg(F.sum(weights(df, weight_col)).alias("total")) if total_weight is None else total_weight  # one row
     c = F.col
-    total = F.lit(float(total_weight)) if total_weight else c("total")
+    total = c("total")
     gap = F.coalesce(F.least(F.greatest((scale.high - c("avg_rating")) / (scale.high - scale.low), F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
     scored = (
         groups.crossJoin(F.broadcast(whole))

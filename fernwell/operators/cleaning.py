@@ -30,10 +30,14 @@ def drop_exact_duplicates(df: DataFrame, ignore: list[str] = ()) -> DataFrame:
 
 
 def drop_resubmissions(df: DataFrame, text_col: str, keys: list[str], shortest: int = SHORTEST_DUPLICATE) -> DataFrame:
-    """The first of the rows whose normalised text and keys are equal; short texts are all kept."""
-    match = T.for_matching(F.col(text_col))
-    long = F.coalesce(F.length(match) >= shortest, F.lit(False))
-    return first_rows(df.filter(long), [match, *[F.col(k) for k in keys]]).unionByName(df.filter(~long))
+    """The first of the rows whose normalised text and keys are equal; short texts are all kept.
+
+    Texts are told apart by their length and 128 bits of hash, so that no text is part of a key; a short text's key is its row.
+    """
+    seen = df.withColumn("__m", T.for_matching(F.col(text_col)))
+    m, long = F.col("__m"), F.coalesce(F.length("__m") >= shortest, F.lit(False))
+    key = F.when(long, F.struct(F.length(m).cast("long").alias("n"), F.xxhash64(m).alias("a"), F.xxhash64(F.lit(1), m).alias("b"))).otherwise(F.struct(F.lit(-1).cast("long").alias("n"), F.col(ORDER).alias("a"), F.col(ORDER).alias("b")))
+    return first_rows(seen.withColumn("__m", key), [F.col("__m.n"), F.col("__m.a"), F.col("__m.b"), *[F.col(k) for k in keys]]).drop("__m")
 
 
 def canonical_labels(df: DataFrame, col: str, order: str = ORDER) -> DataFrame:

@@ -193,6 +193,13 @@ def explode_aspects(df: DataFrame, carry: list[str]) -> DataFrame:
     return df.filter(is_labelled(F.col("label_source"))).select(*here, F.explode("aspects_ai").alias("__a")).select(*here, "__a.topic", "__a.polarity", "__a.issue")
 
 
+def complaints(df: DataFrame, carry: list[str]) -> DataFrame:
+    """A row for each distinct issue of a labelled review, made distinct where the review lies."""
+    here = [c for c in carry if c in df.columns]
+    issues = F.array_distinct(F.transform(F.filter("aspects_ai", lambda a: a["polarity"] == "negative"), lambda a: a["issue"]))
+    return df.filter(is_labelled(F.col("label_source"))).select(*here, F.explode(issues).alias("issue"))
+
+
 def ask_model(texts: DataFrame, client: Callable[[list[tuple[str, str]]], dict[str, dict]], batch: int = 25) -> DataFrame:
     """``review_id`` and ``raw`` (JSON, null where there is none) for rows of ``review_id`` and ``t``, asked where they lie.
 

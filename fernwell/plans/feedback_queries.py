@@ -178,9 +178,8 @@ def issues_by_segment(d: DataFrame) -> DataFrame:
 
 @on_orders("issue_priority")
 def issue_priority(d: DataFrame) -> DataFrame:
-    rows, aspects, total = exploded(d)
-    negative = aspects.filter("polarity = 'negative'").dropDuplicates(["review_id", "issue"])
-    return A.priority_table(negative, "issue", "sentiment", "sample_weight", total.first()["total"])
+    rows, _, total = exploded(d)
+    return A.priority_table(L.complaints(rows, ["rating", "sentiment", "sample_weight"]), "issue", "sentiment", "sample_weight", total)
 
 
 def predicted(d: DataFrame) -> DataFrame:

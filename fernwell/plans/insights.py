@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
+from fernwell.functions.numbers import half_even
 from fernwell.operators.analytics import MIN_GROUP
 from fernwell.plans.pipeline import AnalysisResult
 
@@ -19,7 +20,7 @@ class Insight:
 
 
 def generate(result: AnalysisResult, top: int = 3) -> list[Insight]:
-    """Top issues, groups with significantly more low ratings, praise, and advice for issues of high priority."""
+    """Top issues, groups with significantly more low ratings, praise, outcome shares, and advice for issues of high priority."""
     out: list[Insight] = []
     guess = "an estimated " if result.method == "ai" else ""
     rows = lambda name, f: f(result.table(name)).limit(top).collect() if name in result.tables and result.tables[name].available else []  # noqa: E731 - top rows
@@ -30,6 +31,11 @@ def generate(result: AnalysisResult, top: int = 3) -> list[Insight]:
         out.append(Insight("segment", f"{result.roles.label_for(r['dimension'])} {r['group']} gets {r['lift']} times the average share of low ratings ({r['pct_low_rating']}%).", "low_rating_drivers", r["reviews"] < MIN_GROUP))
     for r in rows("praise", lambda d: d.filter(F.col("topic") != "Other")):
         out.append(Insight("praise", f"{r['topic']}: {guess}{r['est_pct_of_reviews']}% of reviews praise it.", "praise", r["reviews"] < MIN_GROUP))
+    for o in result.roles.outcomes:
+        share = F.count_if(F.col(o.column) == 1.0) / F.count(o.column)
+        r = result.data.agg(F.count(o.column).alias("n"), half_even(100 * share, 1).alias("pct")).first()  # one row
+        if r["n"]:
+            out.append(Insight("outcome", f"{o.label}: {r['pct']}% of the {r['n']} reviews that say so.", f"outcome_agreement:{o.column}", r["n"] < MIN_GROUP))
     for r in issues:
         if r["priority"] == "High":
             out.append(Insight("recommendation", f"Look into {r['group'].lower()} first.", "issue_priority", r["reviews"] < MIN_GROUP))

@@ -190,9 +190,8 @@ def build_tables(r: AnalysisResult) -> None:
     for o in roles.outcomes:
         add(f"outcome_agreement:{o.column}", o.label, "rated", lambda o=o: E.rating_outcome_table(d, o.column), "rating", rated and seen[f"o_{o.column}"] > 0, note=lambda o=o: E.outcome_agreement(d, o.column, scale))
     aspects = r.aspects
-    negative = aspects.filter(F.col("polarity") == "negative").dropDuplicates(["review_id", "issue"])
     add("topics", "Topics", "labelled", lambda: topic_table(aspects, total), "label", texts, "sentiment_ai", True)
-    add("issue_priority", "Issues by priority", "labelled", lambda: A.priority_table(negative, "issue", "sentiment", "sample_weight", total.first()["total"], scale), "label", texts, "sentiment", True)
+    add("issue_priority", "Issues by priority", "labelled", lambda: A.priority_table(L.complaints(labelled, ["rating", "sentiment", "sample_weight"]), "issue", "sentiment", "sample_weight", total, scale), "label", texts, "sentiment", True)
     add("praise", "Praise", "labelled", lambda: mention_table(aspects, "positive", "topic", total), "label", texts, "sentiment_ai", True)
     add("flags", "Flags", "labelled", lambda: flag_table(labelled, r.profile.flags), "label", texts and bool(r.profile.flags), weighted=True)
     for c in roles.segments:

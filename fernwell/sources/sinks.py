@@ -70,6 +70,16 @@ def labelling_sample(df: DataFrame, path: str, n: int, seed: int, flags: tuple[s
     return out
 
 
+def labelling_guide(profile) -> str:
+    """What someone who labels by hand has to know, in Markdown."""
+    lines = ["# Labelling guide", "", "Judge the text alone, not the stars. `true_sentiment` is Positive, Neutral or Negative; `true_topic` is the one topic that the text is most about.", "", "`true_issues` holds every complaint and `true_praise_topics` every praised topic, between semicolons; leave them blank if there is none.", "", "## Topics and issues", ""]
+    for topic, issues in profile.taxonomy.items():
+        lines += [f"* **{topic}**", *(f"    * {i}: {d}" for i, d in issues.items())]
+    if profile.flags:
+        lines += ["", "## Yes or no", "", *(f"* `true_{f}`: {d}" for f, d in profile.flags.items())]
+    return "\n".join(lines) + "\n"
+
+
 def markdown_table(df: DataFrame, most: int = 50) -> str:
     rows = [r.asDict() for r in df.limit(most).collect()]
     show = lambda v: "" if v is None else str(v)
