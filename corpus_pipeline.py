@@ -10,7 +10,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernwell.llm.common import shared_folder, table
+from fernwell.llm.common import removed, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, docs = f"{shared_folder(spark)}/pipeline-{uuid4().hex}", table(spark, sf_dir, "documents")
+    """The rows of the last stage; a stage's folder is removed once the next one is written."""
+    folder, docs, before = f"{shared_folder(spark)}/pipeline-{uuid4().hex}", table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed(spark, f"{folder}/{before}")
+        before = name
     return docs
