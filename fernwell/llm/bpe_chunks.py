@@ -1,13 +1,11 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 Encoding. A rolling hash over the last 16 bytes cuts every text where its low bits are zero, so equal passages are cut
-alike wherever they stand. A chunk is encoded once by each Python worker, over all tasks that it runs, and kept for every
-later document that holds it; memory is bounded by two generations of chunks, of which the older one is dropped when the
-newer is full, so that chunks in use stay. A cut may fall inside a word: where two chunks meet, what stands between the last white space of the left
+alike wherever they stand. A chunk is encoded once by each worker and kept, in bounded memory, for every later document
+that holds it. A cut may fall inside a word: where two chunks meet, what stands between the last white space of the left
 and the first white space of the right is encoded again as one, the window growing over chunks without white space,
 until both its ends are white space. There the encoding agrees exactly with that of the whole text: the tokenizer
-drops white space and never joins anything over it (added tokens hold none). A tokenizer that keeps white space, as
-byte-level ones do, is refused: it is probed when the encoder is made.
+drops white space and never joins anything over it (added tokens hold none).
 
 Inside a chunk the same holds for each word, so words too are encoded once and kept. The tokenizer itself only sees
 words it has not met lately.
@@ -24,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,23 +89,13 @@ class ChunkEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.strings = [self.tokenizer.id_to_token(i) for i in range(size)]
         self.model = self.tokenizer.model
-        self._refuse_white_space()
         self.splits = self._splits_letters_from_marks()
         self.words: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
         self.chunks: dict[str, tuple] = {}
-        self.older_chunks: dict[str, tuple] = {}
         self.chunk_chars = 0
         self.encoded_chunks = self.reused_chunks = 0
 
-    def _refuse_white_space(self) -> None:
-        """Joins agree only where the tokenizer drops white space and encodes what stands on its sides apart."""
-        ids = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
-        for left, right in (("some", "words"), ("Ab1", "2c"), ("x.", "!y"), ("é", "ß"), ("it", "'s")):
-            for gap in (" ", "\n", "\t", "  ", "\r\n"):
-                if ids(left + gap + right) != ids(left) + ids(right):
-                    raise ValueError("this tokenizer keeps white space or joins over it; chunks can't be encoded apart")
-
     def _splits_letters_from_marks(self) -> bool:
         """Whether this tokenizer lower-cases and takes letters and the marks after them apart, as a probe shows."""
         ids = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
@@ -160,21 +147,18 @@ class ChunkEncoder:
     def _chunk(self, text: str) -> tuple:
         """(left fragment, encoding of the middle, right fragment); without white space (text, None, text)."""
         found = self.chunks.get(text)
-        if found is not None:
-            self.reused_chunks += 1
-            return found
-        found = self.older_chunks.get(text)
-        if found is not None:
-            self.reused_chunks += 1
-        else:
+        if found is None:
             self.encoded_chunks += 1
             first = min((at for c in " \n\t\r" if (at := text.find(c)) >= 0), default=-1)
             last = max(text.rfind(c) for c in " \n\t\r")
             found = (text, None, text) if first < 0 else (text[:first], self._run(text[first : last + 1]), text[last + 1 :])
-        if self.chunk_chars > CHUNK_CACHE_CHARS:
-            self.older_chunks, self.chunks, self.chunk_chars = self.chunks, {}, 0
-        self.chunks[text] = found
-        self.chunk_chars += 4 * len(text)
+            if self.chunk_chars > CHUNK_CACHE_CHARS:
+                self.chunks.clear()
+                self.chunk_chars = 0
+            self.chunks[text] = found
+            self.chunk_chars += 4 * len(text)
+        else:
+            self.reused_chunks += 1
         return found
 
     def encode(self, text: str) -> tuple[int, str, str]:
@@ -201,12 +185,6 @@ class ChunkEncoder:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
-@lru_cache(maxsize=2)
-def worker_encoder(tokenizer_path: str) -> ChunkEncoder:
-    """One encoder a Python worker, so that what it has encoded serves its later tasks too."""
-    return ChunkEncoder(tokenizer_path)
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
     """``id_col``, ``ids`` (array of int), ``decoded`` and the count and digests of both, a row for each row of ``docs``.
 
@@ -215,7 +193,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer_path)
+        encoder = ChunkEncoder(tokenizer_path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)

@@ -121,12 +121,6 @@ def test_bpe_equals_the_library(spark, monkeypatch):
         assert encoder.encode(t or "")[:2] == (len(ids), " ".join(map(str, ids)))
         assert encoder.decode(ids) == text
     assert encoder.reused_chunks > 0
-    bpe_chunks.worker_encoder.cache_clear()
-    small = bpe_chunks.worker_encoder(path)
-    monkeypatch.setattr(bpe_chunks, "CHUNK_CACHE_CHARS", 3_000)  # generations change often
-    assert small is bpe_chunks.worker_encoder(path) and all(small.encode(t or "")[:2] == encoder.encode(t or "")[:2] for t in texts) and small.older_chunks
-    with pytest.raises(ValueError, match="white space"):
-        bpe_chunks.ChunkEncoder(queries.tokenizer_file("byte_bpe_50k.json"))
     docs = spark.createDataFrame([(i if i else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
     got = {r["doc_id"]: tuple(r)[1:4] for r in bpe_chunks.encode_documents(docs, path, digests_only=True).collect()}
     assert [got[i if i else None] for i in range(len(texts))] == want
