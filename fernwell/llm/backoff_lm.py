@@ -34,6 +34,8 @@ from fernwell.llm.common import checkpointed
 ALPHA, ORDER, MIN_COUNT = 0.4, 2, 1
 BLOCK_CHARS = 16_000_000
 TASK_TOKENS, LEAST_PARTS = 1_500_000, 1024
+#: Words of a block that are looked up and scored at once.
+SLICE = 1 << 18
 _KEPT_WORDS = 300_000
 _WORD = re.compile(r"\w+")
 #: No word has these hashes' texts, as they hold no letter, digit or underscore.
@@ -85,37 +87,65 @@ def from_few_bytes(data: bytes, n: int) -> np.ndarray:
     return counts
 
 
-def grams(words: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order from 1 the hashes of the n-grams that end at each word; where the text has too few before it, zero.
+def grams(words: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+    """A row for each order from 1: the hashes of the n-grams that end at each word; where the text has too few before it, zero.
 
-    ``starts``: each word's distance from its text's start.
+    ``starts``: each word's distance from its text's start. Works in place, as a block's arrays are large.
     """
-    x = words * np.uint64(0x9E3779B97F4A7C15)
-    out = [x ^ (x >> np.uint64(29))]
+    out = np.zeros((order, len(words)), np.uint64)
+    np.multiply(words, np.uint64(0x9E3779B97F4A7C15), out=out[0])
+    out[0] ^= out[0] >> np.uint64(29)
     for k in range(2, order + 1):
-        y = np.zeros_like(x)
-        y[1:] = (out[-1][:-1] + np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93)
+        y = out[k - 1]
+        np.add(out[k - 2][:-1], np.uint64(k), out=y[1:])
+        y *= np.uint64(0xD6E8FEB86659FD93)
         y ^= y >> np.uint64(32)
-        y = (y ^ words) * np.uint64(0xBF58476D1CE4E5B9)
+        y ^= words
+        y *= np.uint64(0xBF58476D1CE4E5B9)
         y ^= y >> np.uint64(31)
         y[starts < k - 1] = 0
-        out.append(y)
     return out
 
 
+def _found(table: np.ndarray, values: np.ndarray, real: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By slices the positions of the real values and their places in the sorted ``table``; a slice may be overwritten."""
+    for lo in range(0, len(values), SLICE):
+        at = np.arange(lo, min(lo + SLICE, len(values)))
+        if real is not None:
+            at = at[real[at]]
+        own, place = np.unique(values[at], return_inverse=True)
+        yield at, np.searchsorted(table, own)[place]
+
+
 class Block:
     """Texts as numbers of words: what a block holds, and what it is rebuilt from."""
 
     def __init__(self, table: list[int] | np.ndarray, places: np.ndarray, lengths: np.ndarray, order: int) -> None:
-        self.lengths = lengths
-        ends = np.cumsum(lengths)
-        self.doc = np.repeat(np.arange(len(lengths)), lengths)
-        self.starts = np.arange(len(places)) - np.repeat(ends - lengths, lengths)
-        self.grams = grams(np.asarray(table, np.uint64)[places], self.starts, order)
-        self.real = [np.arange(len(places)) if k == 0 else np.flatnonzero(self.starts >= k) for k in range(order)]
-
-    def distinct(self, inverse: bool = False):
-        return np.unique(np.concatenate([g[at] for g, at in zip(self.grams, self.real)]).view(np.int64), return_counts=not inverse, return_inverse=inverse)
+        self.table, self.places, self.lengths, self.order = np.asarray(table, np.uint64), places, lengths, order
+        self.ends = np.cumsum(lengths)
+        self.starts = np.arange(len(places), dtype=np.int32)
+        self.starts -= np.repeat((self.ends - lengths).astype(np.int32), lengths)
+
+    def grams(self) -> np.ndarray:
+        return grams(self.table[self.places], self.starts, self.order).view(np.int64)
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams of all orders, sorted, and how often each occurs."""
+        every = self.grams().ravel()
+        every.sort()
+        edges = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+        gram, n = every[edges], np.diff(np.r_[edges, len(every)])
+        n[gram == 0] -= sum(int(np.minimum(self.lengths, k).sum()) for k in range(self.order))  # words with too few before them
+        return (gram, n) if n.all() else (gram[n > 0], n[n > 0])
+
+    def counts(self, gram: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For each order the counts at each word, given those of the distinct n-grams; zero where too few words are before it."""
+        every = self.grams()
+        for k, row in enumerate(every):
+            for at, place in _found(gram, row, self.starts >= k):
+                row[at] = counts[place]
+            row[self.starts < k] = 0
+        return every
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> DataFrame:
@@ -127,20 +157,24 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> Da
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, texts, chars, made
-            lengths = np.array([len(t) for t in texts], np.int64)
-            table, place, times = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+            lengths, hashes = np.array([len(t) for t in texts], np.int64), np.concatenate(texts)
+            texts = []
+            table, times = np.unique(hashes, return_counts=True)
             by = np.argsort(-times, kind="stable")  # frequent words get small numbers
             rank = np.empty(len(by), np.uint32)
             rank[by] = np.arange(len(by))
+            ranks = np.empty(len(hashes), np.uint32)
+            for at, place in _found(table, hashes):
+                ranks[at] = rank[place]
             columns = [
                 pa.array([TaskContext.get().partitionId() << 32 | made], pa.int64()),
-                pa.ListArray.from_arrays([0, len(texts)], pa.concat_arrays(ids)),
+                pa.ListArray.from_arrays([0, len(lengths)], pa.concat_arrays(ids)),
                 pa.array([lengths.tolist()], pa.list_(pa.int64())),
                 pa.array([int(lengths.sum())], pa.int64()),
-                pa.array([packed(rank[place])], pa.binary()),
+                pa.array([packed(ranks)], pa.binary()),
                 pa.array([table[by].tobytes()], pa.binary()),
             ]
-            ids, texts, chars, made = [], [], 0, made + 1
+            ids, chars, made = [], 0, made + 1
             return pa.RecordBatch.from_arrays(columns, names=["block", "docs", "lengths", "tokens", "places", "table"])
 
         for b in batches:
@@ -223,27 +257,29 @@ def scores(
         # without a row there is no column: a block without words has no counts
         replies = sorted(zip(*[counted.column(c).to_pylist() for c in ("part", "size", "counts")])) if counted.num_rows else []
         counts = np.concatenate([np.zeros(0, np.int64), *[from_few_bytes(c, n) for _, n, c in replies]])
-        distinct, place = block.distinct(inverse=True)
+        distinct, _ = block.distinct()
         if len(distinct) != len(counts):
             raise RuntimeError("a block's n-grams and their counts do not match")
-        of = []  # for each order the counts at each word
-        for at, k in zip(block.real, np.split(place, np.cumsum([len(x) for x in block.real])[:-1])):
-            c = np.zeros(len(block.starts))
-            c[at] = counts[k]
-            of.append(c)
-        open_, s, backed = block.starts >= 1, np.zeros(len(block.starts)), np.zeros(len(block.starts), np.int64)
-        for k in range(order, 1, -1):
-            reach = open_ & (block.starts >= k - 1)
-            hit = np.flatnonzero(reach & (of[k - 1] >= min_count))
-            s[hit] += np.log(of[k - 1][hit]) - np.log(of[k - 2][hit - 1])
-            open_[hit] = False
-            s[reach & open_] += np.log(ALPHA)
-        s[open_] += np.log(of[0][open_])
-        backed[open_] = 1
+        of = block.counts(distinct, counts)
+        del distinct, counts
         texts = len(block.lengths)
+        sums, backs = np.zeros(texts), np.zeros(texts, np.int64)
+        for lo in range(0, len(block.starts), SLICE):
+            starts = block.starts[lo : lo + SLICE]
+            open_, s = starts >= 1, np.zeros(len(starts))
+            for k in range(order, 1, -1):
+                reach = open_ & (starts >= k - 1)
+                hit = np.flatnonzero(reach & (of[k - 1][lo : lo + SLICE] >= min_count))
+                s[hit] += np.log(of[k - 1][lo + hit]) - np.log(of[k - 2][lo + hit - 1])
+                open_[hit] = False
+                s[reach & open_] += np.log(ALPHA)
+            s[open_] += np.log(of[0][lo : lo + SLICE][open_])
+            doc = np.searchsorted(block.ends, np.arange(lo, lo + len(starts)), side="right")
+            first, last = doc[0], doc[-1] + 1
+            sums[first:last] += np.bincount(doc - first, s, minlength=last - first)
+            backs[first:last] += np.bincount(doc - first, open_, minlength=last - first).astype(np.int64)
         n = np.maximum(block.lengths - 1, 0)
-        sums = [np.bincount(block.doc, x, minlength=texts).astype(np.float64) for x in (s, backed)]
-        return pa.table([mine.column("docs").combine_chunks().flatten(), pa.array(sums[0]), pa.array(n), pa.array(sums[1].astype(np.int64))], names=["doc", "s", "n", "backed"])
+        return pa.table([mine.column("docs").combine_chunks().flatten(), pa.array(sums), pa.array(n), pa.array(backs)], names=["doc", "s", "n", "backed"])
 
     rows = blocks.mapInArrow(explode, "gram long, block long, n int").withColumn("part", F.shiftright("gram", 64 - part_bits))
     same = Window.partitionBy("part", "gram")

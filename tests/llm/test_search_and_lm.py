@@ -105,3 +105,28 @@ def test_backoff_query_counts_pairs_seen_once(spark, tmp_path):
     got = {r["doc_id"]: r["score"] for r in queries.op7_backoff_lm(spark, str(tmp_path)).collect()}
     assert set(got) == set(want)
     assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
+def test_backoff_blocks_stay_within_memory():
+    """Peak bytes a word and order: 72 to 74 before (n-grams with their inverse), 30 to 36 now."""
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    lengths = r.integers(0, 400, 2_000)
+    places = (r.zipf(1.3, int(lengths.sum())) % 50_000).astype(np.uint32)
+    table = np.sort(r.integers(1, 2**63, 50_000).astype(np.uint64))
+    for order in (2, 3):
+        tracemalloc.start()
+        block = backoff_lm.Block(table, places, lengths, order)
+        gram, n = block.distinct()
+        of = block.counts(gram, n)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 48 * order * len(places)
+        starts = np.concatenate([np.arange(x) for x in lengths])
+        for k in range(order):
+            seen = [tuple(places[i - k : i + 1]) for i in np.flatnonzero(starts >= k)]
+            times = Counter(seen)
+            assert of[k][starts >= k].tolist() == [times[g] for g in seen] and not of[k][starts < k].any()
