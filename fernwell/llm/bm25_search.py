@@ -14,7 +14,10 @@ Blocks lie alike for all terms, so that each step is a few vector operations. Sc
 frequencies and average length, and each row's terms are added in one order, so each shard's top k are exact, ties
 included, and so is their merge.
 
-Queries stream past the index of their shard; a task holds one shard's index and one batch of queries at a time.
+Queries are packed and dealt into parts of bounded bytes, written once. A task joins a group of shards with one part by a
+Cartesian product of partitions, which reads the part where it lies: no copy of a query is made for a shard. As many shards
+make a group as there are parts, so tasks and the hits they send on grow with the input, not with its square; what does is
+the search itself, and the reading for it. A task holds one shard's index and one part at a time.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from fernwell.llm.common import checkpointed
 K1, B = 1.2, 0.75
 BLOCK = 64
 SHARD_CHARS = 40_000_000
+#: Bytes of the queries that a task holds, and terms of the queries in one row.
+QUERY_BYTES, ROW_TERMS = 64_000_000, 100_000
 FIRST_BLOCKS, FIRST_ROWS, SLACK = 1, 16, 1 + 1e-9
 #: The terms left out at first add up to this share of the threshold at most: reading more postings makes closer bounds.
 WEAK_SHARE = 0.15
@@ -177,6 +182,23 @@ def _ranges(starts: np.ndarray, stops: np.ndarray, values: np.ndarray) -> tuple[
     return np.arange(total) + np.repeat(starts - np.r_[0, np.cumsum(n)[:-1]], n), np.repeat(values, n)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of many queries: their ids, their numbers of terms, and the terms and weights one after the other."""
+    for b in batches:
+        sizes = b.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = (np.cumsum(sizes) - sizes) // ROW_TERMS
+        cuts = [*np.flatnonzero(np.r_[True, row[1:] != row[:-1]]), len(row)] if len(row) else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            ids, terms, weights = (c.slice(lo, hi - lo) for c in b.columns)
+            columns = [
+                pa.ListArray.from_arrays([0, hi - lo], ids),
+                pa.array([sizes[lo:hi].tolist()], pa.list_(pa.int32())),
+                pa.array([terms.flatten().to_numpy().tobytes()], pa.binary()),
+                pa.array([weights.flatten().to_numpy().tobytes()], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["queries", "sizes", "qt", "qw"])
+
+
 def top_k(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``query_id``, ``rank``, ``doc`` and ``score``: the k best rows for each row that ``is_query`` picks, itself included.
 
@@ -205,9 +227,21 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id"
     df = rows.select("terms").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     asked = rows.withColumnRenamed("doc", id_col).filter(is_query).select(id_col, "terms").mapInArrow(spread, f"query {kind}, term long").distinct()
     weighed = asked.join(df, "term").select("query", "term", F.log(1 + (count - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("w"))
-    queries = checkpointed(weighed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("ts")).select("query", F.col("ts.term").alias("qt"), F.col("ts.w").alias("qw")))
-    everywhere = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("stage"), F.col("query").alias("doc"), F.lit(0).cast("long").alias("len"), F.lit(None).cast("binary").alias("terms"), F.lit(None).cast("binary").alias("tfs"), "qt", "qw")
-    index = rows.select("shard", F.lit(0).alias("stage"), "doc", "len", "terms", "tfs", F.lit(None).cast("array<bigint>").alias("qt"), F.lit(None).cast("array<double>").alias("qw"))
+    asked_terms = weighed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("ts")).select("query", F.col("ts.term").alias("qt"), F.col("ts.w").alias("qw"))
+    queries = checkpointed(asked_terms.mapInArrow(_packed, f"queries array<{kind}>, sizes array<int>, qt binary, qw binary"))
+    parts = int((queries.agg(F.sum(F.octet_length("qt"))).first()[0] or 0) * 2 // QUERY_BYTES + 1)
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    part = queries.coalesce(parts).withColumn("first", first)
+    groups = -(-shards // parts)
+    # a shard's rows, then its end: a row meets the first row of the part alone, the end meets all of them
+    index = rows.select("shard", F.lit(0).alias("stage"), "doc", "len", "terms", "tfs")
+    ends = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(1).alias("stage"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("doc", "len", "terms", "tfs")])
+    dealt = index.unionByName(ends).withColumn("group", F.col("shard") % groups).repartitionByRange(groups, "group").sortWithinPartitions("shard", "stage")
+    # the place keeps the optimizer from taking out a sort below a join
+    dealt = dealt.select("shard", "stage", "doc", "len", "terms", "tfs", F.monotonically_increasing_id().alias("place"))
+    at_end = F.col("stage") == 1
+    met = dealt.hint("shuffle_replicate_nl").join(part, at_end | F.col("first"))
+    met = met.select("shard", "stage", "doc", "len", "terms", "tfs", *[F.when(at_end, F.col(c)).alias(c) for c in ("queries", "sizes", "qt", "qw")], "place")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, waiting, ready = None, ([], [], [], []), None
@@ -220,17 +254,21 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id"
                 if part[lo] != shard:
                     shard, waiting, ready = part[lo], ([], [], [], []), None
                 if stage[lo] == 0:
+                    if ready is not None:
+                        raise RuntimeError("rows of a shard came after its queries")
                     for kept, c in zip(waiting, piece.columns[2:6]):
                         kept.extend(c.to_pylist())
                     continue
                 if ready is None:
                     ready, waiting = ShardIndex(*waiting, average), ([], [], [], [])
-                for q, t, w in zip(piece.column(2).to_pylist(), piece.column(6), piece.column(7)):
-                    for s, d in ready.top(t.values.to_numpy(), w.values.to_numpy(), k):
-                        query_ids.append(q), doc_ids.append(d), scores.append(s)
+                for ids, sizes, t, w in zip(*(c.to_pylist() for c in piece.columns[6:10])):
+                    cuts = np.cumsum(sizes)[:-1]
+                    for q, terms, weights in zip(ids, np.split(np.frombuffer(t, np.int64), cuts), np.split(np.frombuffer(w, np.float64), cuts)):
+                        for s, d in ready.top(terms, weights, k):
+                            query_ids.append(q), doc_ids.append(d), scores.append(s)
             of_kind = b.schema.field(2).type
             yield pa.RecordBatch.from_arrays([pa.array(query_ids, of_kind), pa.array(doc_ids, of_kind), pa.array(scores, pa.float64())], names=["query_id", "doc", "score"])
 
-    found = index.unionByName(everywhere).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "stage").mapInArrow(search, f"query_id {kind}, doc {kind}, score double")
+    found = met.mapInArrow(search, f"query_id {kind}, doc {kind}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("doc").alias(id_col), "score")

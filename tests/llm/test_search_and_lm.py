@@ -53,6 +53,26 @@ def test_bm25_empty_and_null(spark):
     assert {(r["query_id"], r["doc_id"]) for r in got} == {(10, 10), (10, None)}
 
 
+def test_bm25_does_not_copy_queries_to_shards(spark, monkeypatch):
+    """The bytes that a search shuffles stay the same with forty times the shards, and so do its hits."""
+    monkeypatch.setattr(bm25_search, "QUERY_BYTES", 2_000, raising=False)
+    rows = [(i, f"{t} n{i} m{i % 7}") for i, t in corpus(5, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    store, hits, moved = spark.sparkContext._jsc.sc().statusStore(), [], []
+
+    def written() -> int:
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    total = sum(len(t) for _, t in rows)
+    for shard_chars in (10**9, total // 40):
+        before = written()
+        hits.append({(r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in bm25_search.top_k(docs, F.col("doc_id") % 2 == 0, k=3, shard_chars=shard_chars).collect()})
+        moved.append(written() - before)
+    assert len(hits[0]) > 500 and hits[0] == hits[1]
+    assert moved[1] < 2 * moved[0]
+
+
 @pytest.mark.parametrize("order, min_count, sizes", [(2, 1, {}), (2, 2, {"block_chars": 3_000, "task_tokens": 500}), (3, 1, {"block_chars": 5_000}), (4, 3, {"task_tokens": 900}), (1, 1, {})])
 def test_backoff_equals_brute_force(spark, order, min_count, sizes):
     rows = corpus(2, 120)
