@@ -10,6 +10,9 @@ partitioned by the n-gram's hash; the count table is their sum by n-gram, joined
 same partitioning, so that rows move once. The counts return to their blocks, and each block adds up the logarithms of its
 documents' n-grams.
 
+Words and pairs are counted first. Longer n-grams follow in a second round, without those that hold a pair seen once in the
+corpus: they are seen once themselves, so their counts are known and every count stays exact.
+
 Scale. Every relation is linear in the n-grams: a block sends a distinct n-gram once, however often it occurs, so the
 commonest n-gram has one row a block; counts come back in the order of the block's sorted n-grams, one byte for most, and
 the words themselves never travel. Memory is bounded by a block, by one hash part, or by the longest text.
@@ -28,8 +31,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from fernwell.llm.common import checkpointed
+from fernwell.llm.common import checkpointed, shuffles_removed
 
 ALPHA, ORDER, MIN_COUNT = 0.4, 2, 1
 BLOCK_CHARS = 16_000_000
@@ -118,16 +122,25 @@ def _found(table: np.ndarray, values: np.ndarray, real: np.ndarray | None = None
 
 
 class Block:
-    """Texts as numbers of words: what a block holds, and what it is rebuilt from."""
+    """Texts as numbers of words: what a block holds, and what it is rebuilt from; its n-grams are of orders ``low`` to ``high``.
+
+    With ``pairs``, how often each word's pair with the word before it is seen, the n-grams with a pair seen once are left
+    out: they are seen once as well.
+    """
 
-    def __init__(self, table: list[int] | np.ndarray, places: np.ndarray, lengths: np.ndarray, order: int) -> None:
-        self.table, self.places, self.lengths, self.order = np.asarray(table, np.uint64), places, lengths, order
+    def __init__(self, table: list[int] | np.ndarray, places: np.ndarray, lengths: np.ndarray, high: int, low: int = 1, pairs: np.ndarray | None = None) -> None:
+        self.table, self.places, self.lengths, self.low, self.high = np.asarray(table, np.uint64), places, lengths, low, high
         self.ends = np.cumsum(lengths)
         self.starts = np.arange(len(places), dtype=np.int32)
-        self.starts -= np.repeat((self.ends - lengths).astype(np.int32), lengths)
+        self.reach = self.starts  # an n-gram ends at a word if n is at most its reach plus one
+        if pairs is not None:
+            self.reach = self.starts - np.maximum.accumulate(np.where(pairs >= 2, 0, self.starts))
+        self.starts = self.starts - np.repeat((self.ends - lengths).astype(np.int32), lengths)
+        if pairs is None:
+            self.reach = self.starts
 
     def grams(self) -> np.ndarray:
-        return grams(self.table[self.places], self.starts, self.order).view(np.int64)
+        return grams(self.table[self.places], self.reach, self.high)[self.low - 1 :].view(np.int64)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct n-grams of all orders, sorted, and how often each occurs."""
@@ -135,15 +148,16 @@ class Block:
         every.sort()
         edges = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
         gram, n = every[edges], np.diff(np.r_[edges, len(every)])
-        n[gram == 0] -= sum(int(np.minimum(self.lengths, k).sum()) for k in range(self.order))  # words with too few before them
+        n[gram == 0] -= sum(int((self.reach < k).sum()) for k in range(self.low - 1, self.high))  # words with too few before them
         return (gram, n) if n.all() else (gram[n > 0], n[n > 0])
 
     def counts(self, gram: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """For each order the counts at each word, given those of the distinct n-grams; zero where too few words are before it."""
         every = self.grams()
-        for k, row in enumerate(every):
-            for at, place in _found(gram, row, self.starts >= k):
+        for k, row in enumerate(every, self.low - 1):
+            for at, place in _found(gram, row, self.reach >= k):
                 row[at] = counts[place]
+            row[self.reach < k] = 1
             row[self.starts < k] = 0
         return every
 
@@ -197,6 +211,31 @@ def _rebuilt(row: dict, order: int) -> Block:
     return Block(np.frombuffer(row["table"], np.uint64), unpacked(row["places"], row["tokens"]), np.array(row["lengths"], np.int64), order)
 
 
+def _counts(block: Block, replies: bytes | list[tuple[int, int, bytes]]) -> np.ndarray:
+    """A block's counts at each word, from the replies of the parts or from what is kept of them."""
+    distinct, _ = block.distinct()
+    counts = from_few_bytes(replies, len(distinct)) if isinstance(replies, bytes) else _joined(replies)
+    if len(distinct) != len(counts):
+        raise RuntimeError("a block's n-grams and their counts do not match")
+    return block.counts(distinct, counts)
+
+
+def _joined(replies: list[tuple[int, int, bytes]]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[from_few_bytes(c, n) for _, n, c in replies]])
+
+
+def _replies(counted: pa.Table) -> list[tuple[int, int, bytes]]:
+    # without a row there is no column: a block without words has no counts
+    return sorted(zip(*[counted.column(c).to_pylist() for c in ("part", "size", "counts")])) if counted.num_rows else []
+
+
+def _longer(row: dict, order: int) -> tuple[np.ndarray, Block]:
+    """The counts of a block's words and pairs, which are known, and the block with its longer n-grams."""
+    short = _rebuilt(row, 2)
+    of = _counts(short, row["seen"])
+    return of, Block(short.table, short.places, short.lengths, order, 3, of[1])
+
+
 def scores(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -205,9 +244,12 @@ def scores(
     min_count: int = MIN_COUNT,
     block_chars: int = BLOCK_CHARS,
     task_tokens: int = TASK_TOKENS,
+    lower: tuple[int, ...] = (),
 ) -> DataFrame:
     """``id_col``, ``n_tokens``, ``score`` (natural log, summed) and ``mean_score`` of every document.
 
+    For each order in ``lower`` there are a ``score_<order>`` and a ``mean_score_<order>`` as well, from the same counts.
+
     Words are lower-cased runs of letters, digits and underscores. A text without words, null or empty, has no tokens,
     score 0 and no mean. Rows that share an id, null included, are scored together; repeated rows count each time. No rows:
     no rows. Other columns are ignored.
@@ -217,11 +259,15 @@ def scores(
     tasks = int((blocks.agg(F.sum("tokens")).first()[0] or 0) // task_tokens + 1)
     part_bits = max(LEAST_PARTS, 8 * tasks).bit_length()
 
+    every = (order, *lower)
+    if max(every) > order:
+        raise ValueError("lower orders are at most the order")
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                gram, n = _rebuilt(row, order).distinct()
+                gram, n = (_longer(row, order)[1] if "seen" in row else _rebuilt(row, min(order, 2))).distinct()
                 for at in range(0, len(gram), 1 << 16):
                     some = gram[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), row["block"], np.int64)), pa.array(n[at : at + (1 << 16)].astype(np.int32))], names=["gram", "block", "n"])
@@ -251,42 +297,55 @@ def scores(
         if kept:
             yield flush()
 
+    def keep(mine: pa.Table, counted: pa.Table) -> pa.Table:
+        return mine.append_column("seen", pa.array([few_bytes(_joined(_replies(counted)))], pa.binary()))
+
     def score(mine: pa.Table, counted: pa.Table) -> pa.Table:
         row = mine.to_pylist()[0]
-        block = _rebuilt(row, order)
-        # without a row there is no column: a block without words has no counts
-        replies = sorted(zip(*[counted.column(c).to_pylist() for c in ("part", "size", "counts")])) if counted.num_rows else []
-        counts = np.concatenate([np.zeros(0, np.int64), *[from_few_bytes(c, n) for _, n, c in replies]])
-        distinct, _ = block.distinct()
-        if len(distinct) != len(counts):
-            raise RuntimeError("a block's n-grams and their counts do not match")
-        of = block.counts(distinct, counts)
-        del distinct, counts
+        if "seen" in row:
+            of, block = _longer(row, order)
+            of = [*of, *_counts(block, _replies(counted))]
+        else:
+            block = _rebuilt(row, order)
+            of = _counts(block, _replies(counted))
         texts = len(block.lengths)
-        sums, backs = np.zeros(texts), np.zeros(texts, np.int64)
+        sums, backs = np.zeros((len(every), texts)), np.zeros((len(every), texts), np.int64)
         for lo in range(0, len(block.starts), SLICE):
             starts = block.starts[lo : lo + SLICE]
-            open_, s = starts >= 1, np.zeros(len(starts))
-            for k in range(order, 1, -1):
-                reach = open_ & (starts >= k - 1)
-                hit = np.flatnonzero(reach & (of[k - 1][lo : lo + SLICE] >= min_count))
-                s[hit] += np.log(of[k - 1][lo + hit]) - np.log(of[k - 2][lo + hit - 1])
-                open_[hit] = False
-                s[reach & open_] += np.log(ALPHA)
-            s[open_] += np.log(of[0][lo : lo + SLICE][open_])
             doc = np.searchsorted(block.ends, np.arange(lo, lo + len(starts)), side="right")
             first, last = doc[0], doc[-1] + 1
-            sums[first:last] += np.bincount(doc - first, s, minlength=last - first)
-            backs[first:last] += np.bincount(doc - first, open_, minlength=last - first).astype(np.int64)
+            for i, top in enumerate(every):
+                open_, s = starts >= 1, np.zeros(len(starts))
+                for k in range(top, 1, -1):
+                    reach = open_ & (starts >= k - 1)
+                    hit = np.flatnonzero(reach & (of[k - 1][lo : lo + SLICE] >= min_count))
+                    s[hit] += np.log(of[k - 1][lo + hit]) - np.log(of[k - 2][lo + hit - 1])
+                    open_[hit] = False
+                    s[reach & open_] += np.log(ALPHA)
+                s[open_] += np.log(of[0][lo : lo + SLICE][open_])
+                sums[i, first:last] += np.bincount(doc - first, s, minlength=last - first)
+                backs[i, first:last] += np.bincount(doc - first, open_, minlength=last - first).astype(np.int64)
         n = np.maximum(block.lengths - 1, 0)
-        return pa.table([mine.column("docs").combine_chunks().flatten(), pa.array(sums), pa.array(n), pa.array(backs)], names=["doc", "s", "n", "backed"])
-
-    rows = blocks.mapInArrow(explode, "gram long, block long, n int").withColumn("part", F.shiftright("gram", 64 - part_bits))
-    same = Window.partitionBy("part", "gram")
-    counted = rows.repartition(tasks, "part").withColumn("c", F.sum("n").over(same)).sortWithinPartitions("part", "gram").select("part", "block", "c")
-    replies = counted.mapInArrow(to_blocks, "block long, part long, size long, counts binary")
-    each = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc {kind}, s double, n long, backed long")
-    sums = checkpointed(each.groupBy("doc").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("backed").alias("backed")))
+        columns = [mine.column("docs").combine_chunks().flatten(), pa.array(n), *map(pa.array, sums), *map(pa.array, backs)]
+        return pa.table(columns, names=["doc", "n", *[f"s{m}" for m in range(len(every))], *[f"b{m}" for m in range(len(every))]])
+
+    def replies(held: DataFrame) -> DataFrame:
+        rows = held.mapInArrow(explode, "gram long, block long, n int").withColumn("part", F.shiftright("gram", 64 - part_bits))
+        same = Window.partitionBy("part", "gram")
+        counted = rows.repartition(tasks, "part").withColumn("c", F.sum("n").over(same)).sortWithinPartitions("part", "gram").select("part", "block", "c")
+        return counted.mapInArrow(to_blocks, "block long, part long, size long, counts binary")
+
+    if order > 2:
+        schema = StructType([*blocks.schema.fields, StructField("seen", BinaryType())])
+        with shuffles_removed(docs.sparkSession):
+            blocks = checkpointed(blocks.groupBy("block").cogroup(replies(blocks).groupBy("block")).applyInArrow(keep, schema))
+    names = [f"{c}{m}" for c in "sb" for m in range(len(every))]
+    kinds = ", ".join(f"{c} {'double' if c[0] == 's' else 'long'}" for c in names)
+    each = blocks.groupBy("block").cogroup(replies(blocks).groupBy("block")).applyInArrow(score, f"doc {kind}, n long, {kinds}")
+    sums = checkpointed(each.groupBy("doc").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]))
     tokens = sums.agg(F.sum("n")).first()[0] or 1
-    total = F.col("s") - F.col("backed") * F.log(F.lit(float(tokens)))
-    return sums.select(F.col("doc").alias(id_col), F.col("n").alias("n_tokens"), total.alias("score"), F.when(F.col("n") > 0, total / F.col("n")).alias("mean_score"))
+    columns = []
+    for m, end in enumerate(["", *[f"_{x}" for x in lower]]):
+        total = F.col(f"s{m}") - F.col(f"b{m}") * F.log(F.lit(float(tokens)))
+        columns += [total.alias(f"score{end}"), F.when(F.col("n") > 0, total / F.col("n")).alias(f"mean_score{end}")]
+    return sums.select(F.col("doc").alias(id_col), F.col("n").alias("n_tokens"), *columns)

@@ -111,10 +111,14 @@ def op3_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores by the full count tables: a pair seen once counts like any other."""
+    """Scores by the full count tables: an n-gram seen once counts like any other.
+
+    ``score`` and ``mean_score`` are by pairs, ``score_3`` and ``mean_score_3`` by triples of words.
+    """
     from fernwell.llm.backoff_lm import scores
 
-    return scores(table(spark, sf_dir, "documents"))
+    found = scores(table(spark, sf_dir, "documents"), order=3, lower=(2,))
+    return found.select("doc_id", "n_tokens", F.col("score_2").alias("score"), F.col("mean_score_2").alias("mean_score"), F.col("score").alias("score_3"), F.col("mean_score").alias("mean_score_3"))
 
 
 def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

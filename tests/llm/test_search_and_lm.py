@@ -150,3 +150,25 @@ def test_backoff_blocks_stay_within_memory():
             seen = [tuple(places[i - k : i + 1]) for i in np.flatnonzero(starts >= k)]
             times = Counter(seen)
             assert of[k][starts >= k].tolist() == [times[g] for g in seen] and not of[k][starts < k].any()
+
+
+def test_backoff_query_scores_by_triples(spark, tmp_path):
+    """The query counts n-grams of three words too, with those that hold a pair seen once, and gives their score."""
+    rows = [*corpus(8, 60), (900, "seen only here seen only here once"), (901, "oak"), (None, "oak seen only twice")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {i: ["<s>", *w, "</s>"] if (w := re.findall(r"\w+", (t or "").lower())) else [] for i, t in rows}
+    count = Counter(tuple(w[i : i + n]) for w in texts.values() for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    got = {r["doc_id"]: r for r in queries.op7_backoff_lm(spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts)
+    for i, w in texts.items():
+        grams = [tuple(w[max(0, j - 2) : j + 1]) for j in range(1, len(w))]
+        assert got[i]["score_3"] == pytest.approx(sum(math.log(count[g] / count[g[:-1]]) for g in grams), abs=1e-6)
+        assert (got[i]["mean_score_3"] is None) == (not w)
+
+
+def test_backoff_triples_of_blank_blocks(spark):
+    rows = [(1, None), (2, ""), (3, "a b a b"), (4, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["n_tokens"] for r in backoff_lm.scores(docs, order=3, lower=(2,), block_chars=1).collect()}
+    assert got == {1: 0, 2: 0, 3: 5, 4: 3}
+    assert backoff_lm.scores(docs.limit(0), order=3).count() == 0
