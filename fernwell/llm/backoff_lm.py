@@ -31,7 +31,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from fernwell.llm.common import checkpointed, shuffles_removed
 
@@ -297,8 +296,8 @@ def scores(
         if kept:
             yield flush()
 
-    def keep(mine: pa.Table, counted: pa.Table) -> pa.Table:
-        return mine.append_column("seen", pa.array([few_bytes(_joined(_replies(counted)))], pa.binary()))
+    def keep(counted: pa.Table) -> pa.Table:
+        return pa.table([counted.column("block").slice(0, 1), pa.array([few_bytes(_joined(_replies(counted)))], pa.binary())], names=["block", "seen"])
 
     def score(mine: pa.Table, counted: pa.Table) -> pa.Table:
         row = mine.to_pylist()[0]
@@ -336,9 +335,9 @@ def scores(
         return counted.mapInArrow(to_blocks, "block long, part long, size long, counts binary")
 
     if order > 2:
-        schema = StructType([*blocks.schema.fields, StructField("seen", BinaryType())])
         with shuffles_removed(docs.sparkSession):
-            blocks = checkpointed(blocks.groupBy("block").cogroup(replies(blocks).groupBy("block")).applyInArrow(keep, schema))
+            seen = checkpointed(replies(blocks).groupBy("block").applyInArrow(keep, "block long, seen binary"))
+        blocks = blocks.join(seen, "block", "left").withColumn("seen", F.coalesce("seen", F.lit(b"")))  # none: no words
     names = [f"{c}{m}" for c in "sb" for m in range(len(every))]
     kinds = ", ".join(f"{c} {'double' if c[0] == 's' else 'long'}" for c in names)
     each = blocks.groupBy("block").cogroup(replies(blocks).groupBy("block")).applyInArrow(score, f"doc {kind}, n long, {kinds}")
