@@ -1,18 +1,17 @@
-"""Exact BM25 top-k by block-max WAND over sharded inverted indexes.
+"""Exact BM25 top-k over sharded inverted indexes, many queries at a time.
 
-Rows are dealt by hash into shards of bounded text. A shard's postings are sorted by term and local row number and cut
-into blocks of ``BLOCK`` rows; every (term, block) keeps the largest score a posting in it can add. For a query:
+Rows are dealt by hash into shards of bounded text. A query's terms are of two kinds in a shard: the often seen, those of
+at least ``OFTEN`` of its rows, and the rest. For a batch of queries:
 
-1. The sums of these maxima bound each block. The blocks of highest bound are scored first, which gives a threshold, the
-   k-th best score so far. Blocks whose bound is below it are out.
-2. WAND's pivot: terms in rising order of their maxima, as long as the maxima add up to less than the threshold, can't
-   lift a row over it alone. Only postings of the other terms are read; a row's partial score from them plus the block
-   maxima of the terms left out bounds the row.
-3. Rows are scored in falling order of bound until the bound falls below the threshold, which rises meanwhile.
+1. The parts that often seen terms add lie in a matrix of terms and rows, in single precision. One matrix product with the
+   queries' weights sums them for all queries and rows. They are a few hundred terms, but most of the postings to read.
+2. The rest have posting lists, which are read for each query and added.
+3. That sum is within a known share of the score, as nothing in it is negative. Rows whose sum is below the k-th best by
+   more than that share can't be hits. The others, hardly more than k, are scored exactly.
 
-Blocks lie alike for all terms, so that each step is a few vector operations. Scores use the global row count, document
-frequencies and average length, and each row's terms are added in one order, so each shard's top k are exact, ties
-included, and so is their merge.
+Block-max WAND, used before, still read 0.79 of the postings, as whole documents are the queries and their bounds are loose.
+Scores use the global row count, document frequencies and average length, and each row's terms are added in one order, in
+double precision, so each shard's top k are exact, ties included, and so is their merge.
 
 Queries are packed and dealt into parts of bounded bytes, written once. A task joins a group of shards with one part by a
 Cartesian product of partitions, which reads the part where it lies: no copy of a query is made for a shard. As many shards
@@ -33,13 +32,15 @@ from pyspark.sql import functions as F
 from fernwell.llm.common import checkpointed
 
 K1, B = 1.2, 0.75
-BLOCK = 64
 SHARD_CHARS = 40_000_000
 #: Bytes of the queries that a task holds, and terms of the queries in one row.
 QUERY_BYTES, ROW_TERMS = 64_000_000, 100_000
-FIRST_BLOCKS, FIRST_ROWS, SLACK = 1, 16, 1 + 1e-9
-#: The terms left out at first add up to this share of the threshold at most: reading more postings makes closer bounds.
-WEAK_SHARE = 0.15
+#: Terms of this share of a shard's rows are often seen: two such terms meet often enough for a matrix product to be cheaper.
+OFTEN = 0.05
+#: Cells of the matrix of often seen terms, terms in it, cells of a batch's sums, and queries in a batch.
+TERM_CELLS, OFTEN_TERMS, SUM_CELLS, BATCH = 1 << 25, 4096, 1 << 23, 128
+#: The k-th best of the maxima of this many rows each is a first bound of the k-th best row.
+GROUP = 64
 _WORD = re.compile(r"\w+")
 _KEPT_WORDS = 300_000
 
@@ -98,81 +99,81 @@ class ShardIndex:
         norm = K1 * (1 - B + B * np.array(lengths, np.float64) / max(average, 1e-9))
         self.row_part = tf * (K1 + 1) / (tf + norm[row])
         del tf
-        # by term: postings in order of rows
-        order = np.argsort(self.row_term, kind="stable")
-        self.row, self.part = row[order], self.row_part[order]
-        self.start = np.r_[0, np.cumsum(np.bincount(self.row_term, minlength=len(self.terms)))].astype(np.int64)
-        # by term and block
-        block = self.row // BLOCK
-        new = np.r_[True, block[1:] != block[:-1]] if len(block) else np.zeros(0, bool)
-        new[self.start[:-1]] = True
-        first = np.flatnonzero(new)
-        self.block = block[first]
-        self.most = np.maximum.reduceat(self.part, first) if len(first) else np.zeros(0)
-        self.entry = np.searchsorted(first, self.start)
-        self.term_most = np.maximum.reduceat(self.part, self.start[:-1]) if len(first) else np.zeros(0)
-        self.blocks = (len(docs) + BLOCK - 1) // BLOCK
-        self.weight = np.zeros(len(self.terms))
-
-    def _exact(self, rows: np.ndarray) -> np.ndarray:
-        """Scores of rows under the weights in ``weight``; every row's terms are added in the order of their hashes."""
-        places, of = _ranges(self.row_start[rows], self.row_start[rows + 1], np.arange(len(rows)))
-        return np.bincount(of, self.weight[self.row_term[places]] * self.row_part[places], minlength=len(rows))
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, object]]:
-        """The k best (score, doc) by score, then doc (null last); rows without a query term are no hits."""
+        # by term: the often seen in a matrix, the others as postings in order of rows
+        seen = np.bincount(self.row_term, minlength=len(self.terms))
+        often = np.flatnonzero(seen >= max(OFTEN * len(docs), 1))
+        often = often[np.argsort(-seen[often], kind="stable")][: min(OFTEN_TERMS, TERM_CELLS // max(len(docs), 1))]
+        self.place = np.full(len(self.terms), -1, np.int32)
+        self.place[often] = np.arange(len(often), dtype=np.int32)
+        self.often = np.zeros((len(often), len(docs)), np.float32)
+        at = self.place[self.row_term]
+        dense = np.flatnonzero(at >= 0)
+        self.often[at[dense], row[dense]] = self.row_part[dense]
+        rest = np.flatnonzero(at < 0)
+        del at, dense
+        rest = rest[np.argsort(self.row_term[rest], kind="stable")]
+        self.row, self.part = row[rest].astype(np.int64), self.row_part[rest]
+        seen[often] = 0
+        self.start = np.r_[0, np.cumsum(seen)].astype(np.int64)
+        self.weight, self.asked = np.zeros(len(self.terms)), np.zeros(len(self.terms), bool)
+        #: A sum of the batch is at least this share of a sum whose score is not higher: each of the two is a sum of rounded
+        #: products of rounded factors, off by a half unit in the last place for each of them.
+        self.close = 1 - 4 * (len(often) + 16) * 2.0**-24
+
+    def _exact(self, rows: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of rows; every row's terms are added in the order of their hashes."""
+        self.weight[at], self.asked[at] = weights, True
+        spans = [slice(a, b) for a, b in zip(self.row_start[rows].tolist(), self.row_start[rows + 1].tolist())]
+        terms = np.concatenate([self.row_term[x] for x in spans])
+        hit = np.flatnonzero(self.asked[terms])
+        of = np.repeat(np.arange(len(rows)), [x.stop - x.start for x in spans])[hit]
+        scores = np.bincount(of, self.weight[terms[hit]] * np.concatenate([self.row_part[x] for x in spans])[hit], minlength=len(rows))
+        self.asked[at] = False
+        return scores
+
+    def top(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> Iterator[list[tuple[float, object]]]:
+        """For each query, of so many of the terms and weights, the k best (score, doc) by score, then doc (null last).
+
+        Rows without a query term are no hits.
+        """
+        batch = max(1, min(BATCH, SUM_CELLS // max(len(self.docs), 1)))
+        ends = np.cumsum(sizes)
+        for lo in range(0, len(sizes), batch):
+            begin, end = ends[lo] - sizes[lo], ends[min(lo + batch, len(sizes)) - 1]
+            yield from self._batch(sizes[lo : lo + batch], terms[begin:end], weights[begin:end], k)
+
+    def _batch(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> Iterator[list[tuple[float, object]]]:
         if not len(self.terms):
-            return []
+            yield from ([] for _ in sizes)
+            return
         at = np.searchsorted(self.terms, terms)
-        held = self.terms[np.minimum(at, len(self.terms) - 1)] == terms
-        at, weights = at[held], weights[held]
-        if not len(at):
-            return []
-        self.weight[at] = weights
-        best = self._top(at, weights, k)
-        self.weight[at] = 0
-        return best
-
-    def _top(self, at: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, object]]:
-        entries, of = _ranges(self.entry[at], self.entry[at + 1], np.arange(len(at)))
-        most, block = weights[of] * self.most[entries], self.block[entries]
-        bound = np.bincount(block, most, minlength=self.blocks)
-        best: list[tuple[float, object]] = []
-
-        def take(rows: np.ndarray) -> float:
-            """Score rows, keep the best k and return the threshold."""
-            nonlocal best
-            scores = self._exact(rows)
-            keep = np.flatnonzero(scores > 0)
-            if len(keep) > k:
-                kth = np.partition(scores[keep], len(keep) - k)[len(keep) - k]
-                keep = keep[scores[keep] >= kth]
-            best = sorted([*best, *((float(scores[i]), self.docs[rows[i]]) for i in keep)], key=lambda x: (-x[0], x[1] is None, x[1]))[:k]
-            return best[k - 1][0] if len(best) == k else 0.0
-
-        first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
-        rows = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        least = take(rows[rows < len(self.docs)])
-        open_blocks = bound * SLACK >= least
-        open_blocks[first] = False
-        if not open_blocks.any():
-            return best
-        rising = np.argsort(weights * self.term_most[at], kind="stable")
-        weak = np.zeros(len(at), bool)
-        weak[rising] = np.cumsum((weights * self.term_most[at])[rising]) * SLACK < WEAK_SHARE * least
-        strong = ~weak
-        places, w = _ranges(self.start[at[strong]], self.start[at[strong] + 1], weights[strong])
-        partial = np.bincount(self.row[places], w * self.part[places], minlength=len(self.docs))
-        rest = np.bincount(block[weak[of]], most[weak[of]], minlength=self.blocks)
-        of_block = np.arange(len(self.docs)) // BLOCK
-        limit = (partial + rest[of_block]) * SLACK
-        rows = np.flatnonzero((partial > 0) & open_blocks[of_block] & (limit >= least))
-        rows = rows[np.argsort(-limit[rows], kind="stable")]
-        done, step = 0, FIRST_ROWS
-        while done < len(rows) and limit[rows[done]] >= least:
-            least = max(least, take(rows[done : done + step]))
-            done, step = done + step, step * 2
-        return best
+        at[at == len(self.terms)] = 0
+        held = np.flatnonzero(self.terms[at] == terms)
+        of, at, weights = np.repeat(np.arange(len(sizes)), sizes)[held], at[held], weights[held]
+        place = self.place[at]
+        asked = np.zeros((len(sizes), len(self.often)), np.float32)
+        often = place >= 0
+        asked[of[often], place[often]] = weights[often]
+        sums = asked @ self.often
+        cuts = np.searchsorted(of, np.arange(len(sizes) + 1))
+        for s, lo, hi in zip(sums, cuts[:-1], cuts[1:]):
+            rest = lo + np.flatnonzero(~often[lo:hi])
+            places, w = _ranges(self.start[at[rest]], self.start[at[rest] + 1], weights[rest])
+            s += np.bincount(self.row[places], w * self.part[places], minlength=len(s))
+            rows = self._near(s, k)
+            scores = self._exact(rows, at[lo:hi], weights[lo:hi]).tolist() if len(rows) else []
+            yield sorted(((x, self.docs[r]) for x, r in zip(scores, rows.tolist())), key=lambda x: (-x[0], x[1] is None, x[1]))[:k]
+
+    def _near(self, sums: np.ndarray, k: int) -> np.ndarray:
+        """Rows of the k best sums, and those that are as good but for rounding."""
+        groups, least = len(sums) // GROUP, 0.0
+        if groups >= k:
+            least = np.partition(sums[: groups * GROUP].reshape(GROUP, groups).max(axis=0), groups - k)[groups - k]
+        rows = np.flatnonzero(sums >= least) if least > 0 else np.flatnonzero(sums)
+        if len(rows) <= k and not least > 0:
+            return rows
+        kth = np.partition(sums[rows], len(rows) - k)[len(rows) - k]
+        return np.flatnonzero(sums >= float(kth) * self.close)
 
 
 def _ranges(starts: np.ndarray, stops: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,9 +263,8 @@ def top_k(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id"
                 if ready is None:
                     ready, waiting = ShardIndex(*waiting, average), ([], [], [], [])
                 for ids, sizes, t, w in zip(*(c.to_pylist() for c in piece.columns[6:10])):
-                    cuts = np.cumsum(sizes)[:-1]
-                    for q, terms, weights in zip(ids, np.split(np.frombuffer(t, np.int64), cuts), np.split(np.frombuffer(w, np.float64), cuts)):
-                        for s, d in ready.top(terms, weights, k):
+                    for q, best in zip(ids, ready.top(np.array(sizes, np.int64), np.frombuffer(t, np.int64), np.frombuffer(w, np.float64), k)):
+                        for s, d in best:
                             query_ids.append(q), doc_ids.append(d), scores.append(s)
             of_kind = b.schema.field(2).type
             yield pa.RecordBatch.from_arrays([pa.array(query_ids, of_kind), pa.array(doc_ids, of_kind), pa.array(scores, pa.float64())], names=["query_id", "doc", "score"])

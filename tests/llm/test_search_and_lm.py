@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,39 @@ def test_bm25_does_not_copy_queries_to_shards(spark, monkeypatch):
     assert moved[1] < 2 * moved[0]
 
 
+@pytest.mark.parametrize("rows, k", [(700, 10), (700, 1), (90, 5), (3, 10)])
+def test_bm25_sums_often_seen_terms_for_all_queries_at_once(monkeypatch, rows, k):
+    """Hits equal a plain sum in double precision, near ties too, and few postings are read for a query."""
+    read, plain = [], bm25_search._ranges
+    monkeypatch.setattr(bm25_search, "_ranges", lambda starts, stops, values: (read.append(int((stops - starts).sum())), plain(starts, stops, values))[1])
+    monkeypatch.setattr(bm25_search, "BATCH", 7, raising=False)
+    r = np.random.default_rng(rows)
+    texts = [np.unique(np.r_[r.zipf(1.3, 40) % 60, 1000 + r.integers(0, 3000, 3)]).astype(np.int64) for _ in range(rows)]
+    texts[rows // 2 :] = [texts[i % 5] for i in range(rows - rows // 2)]  # copies, and lengths that single precision can't tell apart
+    lengths = [200_000_000 + int(x) for x in r.integers(0, 40, rows)]
+    tfs = [r.integers(1, 4, len(t)).astype(np.int32) if i < rows // 2 else np.ones(len(t), np.int32) for i, t in enumerate(texts)]
+    docs = [None, *range(rows - 1, 0, -1)]
+    index = bm25_search.ShardIndex(docs, lengths, [t.tobytes() for t in texts], [f.tobytes() for f in tfs], 2e8)
+    queries = [*texts[:20], np.array([5_000], np.int64), np.zeros(0, np.int64)]
+    weight = {t: 0.1 + float(r.random()) for t in {int(t) for q in queries for t in q}}
+    weights = [np.array([weight[int(t)] for t in q]) for q in queries]
+    got = list(index.top(np.array([len(q) for q in queries]), np.concatenate(queries), np.concatenate(weights), k))
+    whole = 0
+    for q, found in zip(queries, got, strict=True):
+        scores = []
+        for d, n, t, f in zip(docs, lengths, texts, tfs):
+            s = 0.0
+            for x, y in zip(t.tolist(), f.tolist()):
+                if x in q:
+                    whole, s = whole + 1, s + weight[x] * (y * 2.2 / (y + 1.2 * (0.25 + 0.75 * n / 2e8)))
+            if s > 0:
+                scores.append((s, d))
+        scores.sort(key=lambda x: (-x[0], x[1] is None, x[1]))
+        assert [d for _, d in found] == [d for _, d in scores[:k]]
+        assert [s for s, _ in found] == pytest.approx([s for s, _ in scores[:k]], rel=1e-13)
+    assert sum(read) < 0.25 * whole
+
+
 @pytest.mark.parametrize("order, min_count, sizes", [(2, 1, {}), (2, 2, {"block_chars": 3_000, "task_tokens": 500}), (3, 1, {"block_chars": 5_000}), (4, 3, {"task_tokens": 900}), (1, 1, {})])
 def test_backoff_equals_brute_force(spark, order, min_count, sizes):
     rows = corpus(2, 120)
