@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 from html.entities import name2codepoint
@@ -16,8 +15,10 @@ MISSING_TOKENS = ("", "nan", "none", "null", "n/a", "na", "-", "--", "?")
 CSV_NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 #: Number words of ratings.
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
-#: What named references stand for, by Python's table, and those to 128-159, by Windows-1252, as JSON.
-_REFERENCES = json.dumps({k: chr(v) for k, v in name2codepoint.items()} | {"apos": "'"} | {f"_{i}": bytes([i]).decode("cp1252") for i in range(128, 160) if bytes([i]).decode("cp1252", "ignore")})
+#: What named references stand for, by Python's table, the usual ones first, as a map is searched in its order; and those to
+#: 128-159, by Windows-1252, blank where it has no sign.
+_NAMED = {k: chr(name2codepoint[k]) for k in ("amp", "lt", "gt", "quot", "nbsp")} | {"apos": "'"} | {k: chr(v) for k, v in name2codepoint.items()}
+_WINDOWS = [bytes([i]).decode("cp1252", "ignore") for i in range(128, 160)]
 #: Date layouts in the order in which they are tried; ambiguous dates are month first.
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "M/d/yyyy", "M/d/yyyy H:mm", "d/M/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "yyyy/M/d", "d.M.yyyy", "yyyyMMdd")
 
@@ -43,11 +44,13 @@ def unescape(c: Column) -> Column:
     """Character references decoded once, named and numeric: each distinct one is replaced, those that give ``&`` last."""
 
     def value(ref: Column) -> Column:
-        code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(F.regexp_extract(ref, r"^&#[xX](\w+);$", 1), 16, 10)).otherwise(F.regexp_extract(ref, r"^&#(\d+);$", 1)).try_cast("int")
-        look = lambda key: F.call_function("get_json_object", F.lit(_REFERENCES), F.concat(F.lit("$."), key))
+        inside = lambda at: F.substring(ref, F.lit(at), F.length(ref) - at)  # noqa: E731 - up to the semicolon
+        code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(inside(4), 16, 10)).otherwise(inside(3)).try_cast("int")
+        # a fixed map: it is made once, when the query is planned
+        named = F.try_element_at(F.str_to_map(F.lit("\n".join(f"{k} {v}" for k, v in _NAMED.items())), F.lit("\n"), F.lit(" ")), inside(2))
         sign = lambda n: F.decode(F.unhex(F.lpad(F.hex(F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), 0xFFFD).otherwise(n)), 8, "0")), "UTF-32")
-        numeric = _with(code, lambda n: F.when(n.between(128, 159), F.coalesce(look(F.concat(F.lit("_"), n.cast("string"))), sign(n))).otherwise(sign(n)))
-        return F.when(ref.startswith("&#"), numeric).otherwise(look(F.regexp_extract(ref, r"^&(\w+);$", 1)))
+        numeric = _with(code, lambda n: F.when(n.between(128, 159), F.coalesce(F.nullif(F.get(F.split(F.lit("\n".join(_WINDOWS)), "\n"), n - 128), F.lit("")), sign(n))).otherwise(sign(n)))
+        return F.when(ref.startswith("&#"), numeric).otherwise(named)
 
     def decoded(text: Column) -> Column:
         refs = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&(?:#\d{1,9}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,9});"), 0))

@@ -201,3 +201,14 @@ def test_encodings_by_path(spark, tmp_path):
     texts = {n: {r["review_text"] for r in load_csv(spark, str(tmp_path / n)).select("review_text").distinct().collect()} for n in ("a.csv", "b.csv", "c.csv")}
     assert texts == {"a.csv": {"“curly” – 5 €"}, "b.csv": {"plain", "late é €"}, "c.csv": {"plain", "übrig €"}}
     assert load_csv(spark, str(tmp_path / "c.csv"), multi_line=False).count() == 9001
+
+
+def test_references_are_looked_up_without_parsing_their_table(spark):
+    """Every reference gives its sign, and the table of names is one literal of the plan, not a text read for each reference."""
+    from html.entities import name2codepoint
+
+    said = {f"a&{n};b": f"a{chr(c)}b" for n, c in name2codepoint.items()} | {"&#x41;&#X42;&#67;": "ABC", "&#0128;&#x9F;": "€Ÿ", "&#129;": "\x81", "&#0;&#xD800;&#1114112;": "�" * 3, "&amp;lt;&apos;&no;": "&lt;'&no;", "&#;&amp": "&#;&amp"}
+    assert column(spark, list(said), T.unescape) == list(said.values())
+    rows = spark.createDataFrame([("&lt;",)], "v string").select(T.unescape(F.col("v")).alias("x"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and "str_to_map" not in plan
